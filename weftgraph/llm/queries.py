@@ -30,3 +30,28 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
     return token_counts(spark, _table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+@query
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .id_files import token_id_files
+
+    return token_id_files(spark, _table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+@query
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import duplicates
+
+    return duplicates(spark, _table(spark, sf_dir, "documents"))
+
+
+ORACLE["op10_exact_dedup"] = r"""
+WITH t AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+), g AS (
+  SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256
+)
+SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, t.text_sha256
+FROM t JOIN g USING (text_sha256)
+"""
