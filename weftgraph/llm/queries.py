@@ -55,3 +55,17 @@ WITH t AS (
 SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, t.text_sha256
 FROM t JOIN g USING (text_sha256)
 """
+
+
+@query
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(spark, _table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import language_id
+
+    return language_id(spark, _table(spark, sf_dir, "documents"))
