@@ -69,3 +69,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import language_id
 
     return language_id(spark, _table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import secrets
+
+    return secrets(spark, _table(spark, sf_dir, "documents"))
