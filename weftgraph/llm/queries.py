@@ -76,3 +76,30 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import secrets
 
     return secrets(spark, _table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(spark, _table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+ORACLE["op6_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), s AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS p FROM w WHERE len(words) >= 20
+), k AS (
+  SELECT doc_id, p, md5(array_to_string(words[p:p + 19], ' ')) AS h FROM s
+), r AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS n FROM k
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i FROM r WHERE n > 1
+), lists AS (
+  SELECT doc_id, list(i) AS l, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN l IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(l, i)) END, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN lists USING (doc_id)
+"""
