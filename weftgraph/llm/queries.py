@@ -103,3 +103,10 @@ SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_remo
   sha256(coalesce(array_to_string(CASE WHEN l IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(l, i)) END, ' '), '')) AS kept_sha256
 FROM w LEFT JOIN lists USING (doc_id)
 """
+
+
+@query
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import similar
+
+    return similar(spark, _table(spark, sf_dir, "documents")).drop("h")
