@@ -110,3 +110,31 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import similar
 
     return similar(spark, _table(spark, sf_dir, "documents")).drop("h")
+
+
+@query
+def op4_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hamming_search import nearest
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(spark, vectors, vectors.where("vec_id % 50 = 0"))
+
+
+ORACLE["op4_hamming_topk"] = """
+WITH c AS (
+  SELECT vec_id, list_transform(embedding[1:64], lambda x: x > 0) AS bits FROM embeddings
+), d AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.bits, c.bits), lambda z: (z[1] <> z[2])::BIGINT))::BIGINT AS distance
+  FROM c q, c WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank, vec_id, distance FROM d
+)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+
+@query
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed
+
+    return mixed(spark, _table(spark, sf_dir, "documents")).drop("h")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -9,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one Arrow batch. Texts may be long, so batches are kept small.
 ARROW_ROWS = 256
-_live: list[str] = []
+#: Folders made so far, each with the tag under which it was made.
+_live: list[tuple[str, str]] = []
+_tag = ""
 
 
 def prepare(spark: SparkSession) -> None:
@@ -32,7 +35,7 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path).getParent()
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    _live.append(path.rsplit("/", 1)[0])
+    _live.append((_tag, path.rsplit("/", 1)[0]))
     return path
 
 
@@ -43,9 +46,21 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables made so far. Only for when nothing lazy still reads them."""
+@contextlib.contextmanager
+def tagged(tag: str):
+    """Folders made inside belong to ``tag``, under which they can be released."""
+    global _tag
+    old, _tag = _tag, tag
+    try:
+        yield
+    finally:
+        _tag = old
+
+
+def release(spark: SparkSession, tag: str) -> None:
+    """Delete the folders of a tag. Only for when nothing lazy still reads them."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _live:
-        place = jvm.org.apache.hadoop.fs.Path(_live.pop())
+    for own, path in [x for x in _live if x[0] == tag]:
+        place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(conf).delete(place, True)
+        _live.remove((own, path))
