@@ -3,7 +3,7 @@
 Two vocabularies are known by the shape of their file: byte-level BPE with a leading space (``byte``) and BPE with
 word ends over lower-cased text (``word``). A text is cut at single spaces, where neither kind can have a token, each
 piece is looked up in a bounded cache, and only a piece seen for the first time is merged, by the file's own merge
-ranks. A text with characters outside ``SAFE``, with a special token's string, or with unusual blanks goes whole to the
+ranks; pieces new in a batch are merged together in numpy. A text with characters outside ``SAFE``, with a special token's string, or with a run of blanks goes whole to the
 library, so that results never differ from it.
 """
 
@@ -11,27 +11,34 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 from functools import lru_cache
 
+import numpy as np
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries that a worker keeps for pieces and for pre-tokens; a full cache starts anew.
-PIECES, PRE_TOKENS = 120_000, 120_000
+#: Entries that a worker keeps for pieces and for pre-tokens; a full cache starts anew with the next batch.
+PIECES, PRE_TOKENS = 400_000, 400_000
+#: Pre-tokens merged at a time.
+TOGETHER = 4096
 #: Longer pre-tokens are left to the library, whose merging is not quadratic.
 LONGEST = 80
 _NONE = 1 << 60
+#: Value of a piece that only the library can settle: neither bytes nor a number.
+_ODD = ()
+_MARKS = (",", ".")
+#: A text with one of these has blanks that touch, or blanks other than spaces and line feeds.
+_TOUCHING = ("\n\n", " \n", "\n ", "\t", "\r", "\v", "\f")
 
 # The pre-token patterns of the two vocabularies.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Outside these characters, or with blanks that are not single spaces between words, a text takes the library's way.
-_UNSAFE = r"[^\t-\r -~\xa1-\xac\xae-ɏ]"
-_ODD_BYTE = regex.compile(rf"{_UNSAFE}|\s | \s|\A | \Z|<\|")
-_ODD_WORD = regex.compile(rf"{_UNSAFE}|<\|")
+#: A text with other characters takes the library's way.
+SAFE = re.compile(r"[\t-\r -~\xa1-\xac\xae-ɏ]*")
 
 
 def _byte_symbols() -> dict[int, int]:
@@ -41,20 +48,6 @@ def _byte_symbols() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
 
 
-class _Cache(dict):
-    """A dictionary that fills itself and starts anew when full."""
-
-    def __init__(self, make, most: int):
-        self.make, self.most = make, most
-
-    def __missing__(self, key):
-        value = self.make(key)
-        if len(self) >= self.most:
-            self.clear()
-        self[key] = value
-        return value
-
-
 class Encoder:
     """Ids of one vocabulary file, given as its JSON text."""
 
@@ -68,67 +61,179 @@ class Encoder:
         model = spec["model"]
         self.end = model.get("end_of_word_suffix") or ""
         self.kind = "word" if self.end else "byte"
-        self.symbols = _byte_symbols()
-        self.vocab = vocab = model["vocab"]
-        self.pairs = {}
+        vocab, symbols = model["vocab"], _byte_symbols()
+        self.alphabet = {b: chr(c) for b, c in symbols.items()}
+        self.single = np.array([vocab[self.alphabet[b]] for b in range(256)], np.int64)
+        self.final = np.array([vocab[self.alphabet[b] + self.end] for b in range(256)], np.int64)
+        pairs = np.empty((len(model["merges"]), 2), np.int64)
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.pairs[vocab[a] << 20 | vocab[b]] = rank << 20 | vocab[a + b]
+            pairs[rank] = vocab[a] << 20 | vocab[b], rank << 20 | vocab[a + b]
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        self.pairs, self.merged = np.append(pairs[:, 0], _NONE), np.append(pairs[:, 1], _NONE)
         self.pattern = regex.compile(WORD_PATTERN if self.kind == "word" else BYTE_PATTERN)
-        self.pre = _Cache(self._merged, PRE_TOKENS)
-        self.pieces = _Cache(self._piece, PIECES)
-        self.first = _Cache(self._first, PIECES // 8)
-
-    def _merged(self, pre_token: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of one pre-token."""
-        symbols = [chr(self.symbols[b]) for b in pre_token.encode()]
-        if len(symbols) > LONGEST:
-            ids = [t.id for t in self.library.model.tokenize("".join(symbols))]
-        else:
-            symbols[-1] += self.end
-            ids = [self.vocab[s] for s in symbols]
-            get = self.pairs.get
-            ranks = [get(a << 20 | b, _NONE) for a, b in zip(ids, ids[1:])]
-            while ranks:
-                best = min(ranks)
-                if best == _NONE:
-                    break
-                i, new = ranks.index(best), best & 0xFFFFF
-                ids[i : i + 2] = [new]
-                del ranks[i]
-                if i:
-                    ranks[i - 1] = get(ids[i - 1] << 20 | new, _NONE)
-                if i < len(ranks):
-                    ranks[i] = get(new << 20 | ids[i + 1], _NONE)
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def pre_tokens(self, piece: str) -> list[str]:
-        return self.pattern.findall(piece.lower() if self.kind == "word" else piece)
-
-    def _first(self, piece: str) -> bytes:
-        return b"".join(map(self.pre.__getitem__, self.pre_tokens(piece)))
-
-    def _piece(self, piece: str) -> bytes:
-        return self._first(piece if self.kind == "word" else " " + piece)
+        self.pre: dict[str, bytes] = {}
+        self.pieces: dict[bool, dict[str, object]] = {False: {}, True: {}}
+        self.seed: dict[str, int] = {}
+
+    # -- merging
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of a pair in the high bits and the merged id in the low ones; ``_NONE`` for no merge."""
+        key = np.where((left < 0) | (right < 0), -1, left << 20 | right)
+        i = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[i] == key, self.merged[i], _NONE)
+
+    def _merge(self, words: list[bytes]) -> list[bytes]:
+        """Ids of pre-tokens: in every round each word's pair of lowest rank, leftmost first, becomes one id."""
+        sizes = np.array([len(w) for w in words])
+        out: list[bytes] = [b""] * len(words)
+        order = np.argsort(sizes, kind="stable")
+        for at in range(0, len(order), TOGETHER):
+            which = order[at : at + TOGETHER]
+            n, width = sizes[which], int(sizes[which[-1]])
+            raw = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in which), np.uint8).reshape(len(which), width)
+            ids = np.where(np.arange(width) == n[:, None] - 1, self.final[raw], self.single[raw])
+            ids = np.append(np.where(np.arange(width) < n[:, None], ids, -1), np.full((len(which), 1), -1), axis=1)
+            ranks = self._ranks(ids[:, :-1], ids[:, 1:])
+            while len(which):
+                i = ranks.argmin(axis=1)
+                best = ranks[np.arange(len(i)), i]
+                done = best == _NONE
+                if done.any():
+                    ready = ids[done]
+                    raw, step = ready.astype("<u4").tobytes(), 4 * ready.shape[1]
+                    for k, j, length in zip(range(0, len(raw), step), which[done].tolist(), ((ready >= 0).sum(axis=1) * 4).tolist()):
+                        out[j] = raw[k : k + length]
+                    go = ~done
+                    which, ids, ranks, i, best = which[go], ids[go], ranks[go], i[go], best[go]
+                    if not len(which):
+                        break
+                rows, columns = np.arange(len(i)), np.arange(ids.shape[1] - 1)
+                after = columns > i[:, None]
+                ids[:, :-1] = np.where(after, ids[:, 1:], ids[:, :-1])
+                ids[:, -1] = -1
+                ranks[:, :-1] = np.where(after[:, :-1], ranks[:, 1:], ranks[:, :-1])
+                ranks[:, -1] = _NONE
+                ids[rows, i] = best & 0xFFFFF
+                ranks[rows, i] = self._ranks(ids[rows, i], ids[rows, i + 1])
+                before = i > 0
+                ranks[rows[before], i[before] - 1] = self._ranks(ids[rows[before], i[before] - 1], ids[rows[before], i[before]])
+        return out
+
+    def _fill(self, pre_tokens: set[str]) -> None:
+        """Merge the pre-tokens that the cache lacks."""
+        new = list(pre_tokens.difference(self.pre))
+        raw = [p.encode() for p in new]
+        if raw and max(map(len, raw)) > LONGEST:
+            for p, b in zip(new, raw):
+                if len(b) > LONGEST:  # the library's merging is not quadratic
+                    ids = [t.id for t in self.library.model.tokenize("".join(map(self.alphabet.__getitem__, b)))]
+                    self.pre[p] = struct.pack(f"<{len(ids)}I", *ids)
+            new, raw = [p for p in new if p not in self.pre], [b for b in raw if len(b) <= LONGEST]
+        if raw:
+            self.pre.update(zip(new, self._merge(raw)))
+
+    # -- cutting
+
+    def _cut(self, piece: str, lead: str = " ", tail: bool = False) -> list[str] | None:
+        """Pre-tokens of a piece between blanks; None if another blank touches them, which neither side alone can settle."""
+        if self.kind == "word":
+            return self.pattern.findall(piece.lower())
+        if piece[:1] == "\0":
+            return self.pattern.findall(piece[1:])
+        if not piece or (lead and piece[0].isspace()) or (not tail and piece[-1].isspace()):
+            return None
+        return self.pattern.findall(lead + piece)
 
     def odd(self, text: str) -> bool:
         """Whether the library has to take the whole text."""
-        return (_ODD_WORD if self.kind == "word" else _ODD_BYTE).search(text) is not None
-
-    def whole(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
-
-    def encode(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids of a text, without added special tokens; null counts as empty."""
-        if not text:
-            return b""
-        if self.odd(text):
-            ids = self.whole(text)
-            return struct.pack(f"<{len(ids)}I", *ids)
-        if self.kind == "word":
-            return b"".join(map(self.pieces.__getitem__, text.split()))
-        head, *rest = text.split(" ")
-        return self.first[head] + b"".join(map(self.pieces.__getitem__, rest))
+        return "<|" in text or SAFE.fullmatch(text) is None
+
+    def whole(self, text: str) -> bytes:
+        ids = self.library.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    # -- texts
+
+    def lengths(self, pieces: list[str]) -> list[int | None]:
+        """Tokens of each piece between single blanks; None where only the whole text can tell."""
+        own = [None if self.odd(p) else self._cut(p) for p in pieces]
+        self._fill({p for x in own for p in x or ()})
+        return [None if x is None else sum(len(self.pre[p]) for p in x) // 4 for x in own]
+
+    def seed_lengths(self, lengths: dict[str, int]) -> None:
+        """Lengths of frequent pieces, which ``counts`` then looks up without encoding them."""
+        self.seed = lengths
+        self.pieces[True].update(lengths)
+
+    def _batch(self, texts: list[str | None], counts: bool) -> list:
+        cache = self.pieces[counts]
+        if len(cache) > PIECES:
+            cache.clear()
+            cache.update(self.seed if counts else {})
+        if len(self.pre) > PRE_TOKENS:
+            self.pre.clear()
+        zero = 0 if counts else b""
+        get = self.pre.__getitem__
+        value = (lambda own: sum(map(len, map(get, own))) >> 2) if counts else (lambda own: b"".join(map(get, own)))
+        total = sum if counts else b"".join
+        plain: list[tuple[int, list[str], list[str] | None, list[str] | None]] = []
+        out: list = [zero] * len(texts)
+        odd: list[int] = []
+        wanted: set[str] = set()
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if self.odd(text):
+                odd.append(i)
+                continue
+            if self.kind == "word":
+                inner, first, last = text.split(), [], []
+            else:
+                # a line's first word is a piece with the line feed before it, in place of a blank
+                if "\n" in text and not any(b in text for b in _TOUCHING) and text[-1] != "\n" and text[0] != "\n":
+                    text = text.replace("\n", " \0\n")
+                first_piece, *inner = text.split(" ")
+                last = self._cut(inner.pop(), tail=True) if inner else []
+                first = self._cut(first_piece, "", tail=last == [])
+                if first is None or last is None:
+                    odd.append(i)
+                    continue
+                wanted.update(first, last)
+            plain.append((i, inner, first, last))
+        cuts: dict[str, tuple | list | None] = {}
+        lower, lead = self.kind == "word", "" if self.kind == "word" else " "
+        for p in set().union(*(x[1] for x in plain)).difference(cache):
+            w = p.lower() if lower else p
+            if w.isalpha():
+                cuts[p] = (lead + w,)
+            elif w[:2] == "\0\n" and w[2:].isalpha():
+                cuts[p] = ("\n", w[2:])
+            elif w[-1:] in _MARKS and w[:-1].isalpha():
+                cuts[p] = (lead + w[:-1], w[-1])
+            else:
+                cuts[p] = self._cut(p)
+        self._fill(wanted.union(*(own for own in cuts.values() if own)))
+        for p, own in cuts.items():
+            cache[p] = _ODD if own is None else get(own[0]) if len(own) == 1 and not counts else value(own)
+        for i, inner, first, last in plain:
+            try:
+                out[i] = total((value(first), *map(cache.__getitem__, inner), value(last)))
+            except TypeError:
+                odd.append(i)
+        for i in odd:
+            ids = self.whole(texts[i])
+            out[i] = len(ids) // 4 if counts else ids
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of texts, without added special tokens; null counts as empty."""
+        return self._batch(texts, False)
+
+    def counts(self, texts: list[str | None]) -> list[int]:
+        """Numbers of tokens of texts."""
+        return self._batch(texts, True)
 
 
 @lru_cache(maxsize=2)

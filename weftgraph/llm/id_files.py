@@ -159,8 +159,8 @@ def write_id_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str, pa
             return pa.RecordBatch.from_arrays([pa.array([make_shard(part, number, ids, payloads)], pa.binary())], names=["shard"])
 
         for batch in batches:
-            for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                payloads.append(enc.encode(t) + stop)
+            for d, own in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist())):
+                payloads.append(own + stop)
                 ids.append(d)
                 size += len(payloads[-1]) // 4
                 if size >= shard_ids:

@@ -167,8 +167,8 @@ def pieces(spark: SparkSession, docs: DataFrame, tokenizer_path: str, capacity:
         enc, task, ranks = encoder(shared.value), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             rows = []
-            for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = enc.encode(t) + stop
+            for d, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist())):
+                ids += stop
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     n = len(own) // 4

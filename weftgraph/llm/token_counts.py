@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import workspace
-from .bpe import _Cache, encoder, tokenizer_file
+from .bpe import encoder, tokenizer_file
 
 #: Entries of the broadcast table, entries that a summary keeps, distinct entries before a task prunes its summary.
 HOT, KEPT, PRUNE_AT = 16_384, 4_096, 200_000
@@ -79,28 +79,16 @@ def token_counts(spark: SparkSession, docs: DataFrame, tokenizer_path: str, over
     file = tokenizer_file(tokenizer_path)
     enc = encoder(file)
     words = hot_table(docs)
-    lengths = bytes(min(255, len(enc.pieces[w]) // 4) for w in words)  # one byte a word
-    shared = sc.broadcast((file, "\n".join(words), lengths))
+    table = {w: n for w, n in zip(words, enc.lengths(words)) if n is not None and n < 256}
+    shared = sc.broadcast((file, "\n".join(table), bytes(table.values())))  # one byte a word
 
     def count(batches):
         text_of, packed, sizes = shared.value
         enc = encoder(text_of)
-        hot = {w: n for w, n in zip(packed.split("\n"), sizes) if n < 255} if packed else {}
-        pre = _Cache(lambda p: len(enc._merged(p)) // 4, 150_000)
-        cold = _Cache(lambda w: hot[w] if w in hot else sum(map(pre.__getitem__, enc.pre_tokens(" " + w))), 150_000)
-        head = _Cache(lambda w: sum(map(pre.__getitem__, enc.pre_tokens(w))), 20_000)
-
-        def tokens(text):
-            if not text:
-                return 0
-            if enc.odd(text):
-                return len(enc.whole(text))
-            first, *rest = text.split(" ")
-            return head[first] + sum(map(cold.__getitem__, rest))
-
+        enc.seed_lengths(dict(zip(packed.split("\n"), sizes)) if sizes else {})
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            n = [tokens(t) for t in texts]
+            n = enc.counts(texts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > over for x in n], pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
