@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .settle import settle
 from .graph import RELATED, common_entities, entities, entity_pages, undirected
 
 #: Nodes up to which communities are found by greedy modularity, in one task; beyond, by label propagation.
@@ -18,15 +19,14 @@ EXACT_NODES = 300
 def components(edges: DataFrame) -> DataFrame:
     """(entity, component): weakly connected components named by their least entity, by label propagation with checkpoints."""
     around = undirected(edges)
-    labels = entities(edges).withColumn("component", F.col("entity"))
     labels = around.groupBy(F.col("node").alias("entity")).agg(F.min("other").alias("m")).select("entity", F.least("entity", "m").alias("component"))
-    labels = labels.checkpoint()
+    labels = settle(labels)
     while True:
         near = around.join(labels.select(F.col("entity").alias("other"), F.col("component").alias("c")), "other").groupBy(F.col("node").alias("entity")).agg(F.min("c").alias("c"))
         far = labels.select(F.col("entity").alias("component"), F.col("component").alias("up"))
         # the least label of the neighbours, and the label of the own label: paths shorten by half each round
         grown = labels.join(near, "entity").join(far, "component").select("entity", "component", F.least("component", "c", "up").alias("new"))
-        grown = grown.checkpoint()
+        grown = settle(grown)
         changed = grown.where("new < component").limit(1).count()
         labels = grown.select("entity", F.col("new").alias("component"))
         if not changed:
@@ -84,7 +84,8 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     for _ in range(rounds):
         votes = around.join(labels.select(F.col("entity").alias("other"), "label"), "other").groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
         best = votes.groupBy("node").agg(F.max(F.struct("n", "label")).alias("b"))
-        labels = best.select(F.col("node").alias("entity"), F.col("b.label").alias("label")).checkpoint()
+        labels = best.select(F.col("node").alias("entity"), F.col("b.label").alias("label"))
+        labels = settle(labels)
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     return labels.join(sizes, "label").select("entity", F.xxhash64("label").alias("community"), F.lit("label propagation").alias("algo"))
 
@@ -141,7 +142,7 @@ def scaled(layout: DataFrame) -> DataFrame:
 
 def layered_nodes(edges: DataFrame, layout: DataFrame | None = None, spacing: float = 1.0) -> DataFrame:
     """(node_id, entity, page_num, x, y, z, is_common): one node for each entity and page; pages are layers."""
-    placed = entity_pages(edges, 1).select("entity", F.explode("pages").cast("int").alias("page_num"), (F.size("pages") >= 2).alias("is_common"))
+    placed = entity_pages(edges, 1).select("entity", F.explode(F.col("pages").cast("array<int>")).alias("page_num"), (F.size("pages") >= 2).alias("is_common"))
     if layout is not None:
         placed = placed.join(scaled(layout), ["page_num", "entity"], "left")
     else:
@@ -156,7 +157,7 @@ def layered_edges(edges: DataFrame) -> DataFrame:
     node = lambda e, p: F.concat(e, F.lit("__page"), p.cast("string"))
     inside = edges.select(node(F.col("src"), page).alias("source_id"), node(F.col("dst"), page).alias("target_id"), F.coalesce("relation", F.lit(RELATED)).alias("relation"), F.lit(False).alias("is_identity"), page.alias("page_num"))
     w = W.partitionBy("entity").orderBy("page_num")
-    chain = common_entities(edges).select("entity", F.explode("pages").cast("int").alias("page_num")).withColumn("next", F.lead("page_num").over(w)).where("next IS NOT NULL")
+    chain = common_entities(edges).select("entity", F.explode(F.col("pages").cast("array<int>")).alias("page_num")).withColumn("next", F.lead("page_num").over(w)).where("next IS NOT NULL")
     same = chain.select(node(F.col("entity"), F.col("page_num")).alias("source_id"), node(F.col("entity"), F.col("next")).alias("target_id"), F.lit("SAME_ENTITY").alias("relation"), F.lit(True).alias("is_identity"), F.lit(None).cast("int").alias("page_num"))
     known = layered_nodes(edges).select("node_id")
     inside = inside.join(known.withColumnRenamed("node_id", "source_id"), "source_id", "left_semi").join(known.withColumnRenamed("node_id", "target_id"), "target_id", "left_semi")

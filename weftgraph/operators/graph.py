@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .settle import settle
+
 #: A neighbourhood's frontier is broadcast below so many nodes; beyond, it is joined by shuffle.
 SMALL = 100_000
 RELATED = "RELATED_TO"
@@ -69,14 +71,13 @@ def seeds(entity_table: DataFrame, wanted: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     """(entity, depth) of all within ``hops`` of the start entities, edges taken both ways; a breadth-first search by joins."""
     around = undirected(edges)
-    seen = start.select("entity").distinct().withColumn("depth", F.lit(0))
+    seen = settle(start.select("entity").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for d in range(1, hops + 1):
         nxt = frontier.join(around, frontier["entity"] == around["node"]).select(F.col("other").alias("entity")).distinct()
-        frontier = nxt.join(seen, "entity", "left_anti").withColumn("depth", F.lit(d))
+        # each level is used twice, so that without a cut the plan would double with every hop
+        frontier = settle(nxt.join(seen, "entity", "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.unionByName(frontier)
-        if d % 3 == 0 and d < hops:
-            seen, frontier = seen.checkpoint(), frontier.checkpoint()
     return seen
 
 
@@ -94,8 +95,8 @@ def induced(edges: DataFrame, kept: DataFrame) -> DataFrame:
 def subgraph(edges: DataFrame, wanted: DataFrame, hops: int = 2, max_nodes: int = 50) -> tuple[DataFrame, DataFrame]:
     """(entities with depth, induced edges) around the wanted names."""
     found = seeds(entities(edges), wanted).select("entity")
-    kept = capped(reach(edges, found, hops), max_nodes)
-    return kept, induced(edges, kept)
+    kept = settle(capped(reach(edges, found, hops), max_nodes))
+    return kept, settle(induced(edges, kept))
 
 
 def touching(edges: DataFrame, start: DataFrame, hops: int = 2, max_triples: int = 100) -> DataFrame:
@@ -117,6 +118,7 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_nodes: int = 5
     for _ in range(max_nodes - 1):
         grown = level.join(hop, level["node"] == hop["src"]).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         level = grown.join(seen.select("node"), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
+        level = settle(level)
         seen = seen.unionByName(level)
     there = entities(edges).where(F.col("entity") == source)
     found = seen.where(F.col("node") == target).select("path")
@@ -125,8 +127,8 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_nodes: int = 5
 
 def path_edges(edges: DataFrame, paths: DataFrame) -> DataFrame:
     """(step, src, relation, dst, length) of the edges along each path."""
-    steps = paths.select((F.size("path") - 1).alias("length"), F.posexplode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("a"), F.slice("path", F.lit(2), F.size("path") - 1).alias("b"))).alias("step", "z"))
-    steps = steps.select("length", "step", F.col("z")["0"].alias("src"), F.col("z")["1"].alias("dst"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.element_at("path", i).alias("src"), F.element_at("path", i + 1).alias("dst")))
+    steps = paths.where(F.size("path") > 1).select((F.size("path") - 1).alias("length"), F.posexplode(pairs).alias("step", "z")).select("length", "step", "z.src", "z.dst")
     return steps.join(edges.select("src", "dst", "relation"), ["src", "dst"]).select("step", "src", F.coalesce("relation", F.lit(RELATED)).alias("relation"), "dst", "length")
 
 

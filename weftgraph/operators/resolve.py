@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.text import base_form, normalize_entity
 from ..vocab import TITLES
@@ -16,7 +17,7 @@ from .components import components
 FUZZY = 0.85
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two normal forms, 0 to 1: matching blocks over lengths. No built-in function gives it."""
     return pd.Series([1.0 if x == y and x else (SequenceMatcher(None, x, y).ratio() if x and y else 0.0) for x, y in zip(a, b)])
@@ -44,8 +45,8 @@ def title_links(first: DataFrame) -> DataFrame:
 def fuzzy_links(first: DataFrame, threshold: float = FUZZY) -> DataFrame:
     """(norm, longer, ratio): pairs of forms at or over the threshold.
 
-    Only forms that share one of their first rarest trigrams are compared. With matches in order, two strings at ratio t
-    share enough of their length that at most ``k`` of a form's trigrams are broken; forms list the k + 1 rarest.
+    Only forms of near lengths that share a trigram, ends included, are compared: at a ratio of 0.85 some matching block
+    is three characters long or reaches an end.
     """
     f = first.where("norm <> ''").select("norm", F.length("norm").alias("len"))
     grams = f.withColumn("padded", F.concat(F.lit("^"), "norm", F.lit("$"))).select("norm", "len", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("padded") - 2), lambda i: F.substring("padded", i, F.lit(3))))).alias("g"))

@@ -27,7 +27,8 @@ VERB = r"(?i)([A-Z][a-zA-Z\s]+?)\s+(offered|promised|chose|gave|took|received|so
 def _groups(text: Column, pattern: str, n: int) -> Column:
     """Matches of a pattern as structs g0, g1, ... of its groups, stripped."""
     found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i + 1)) for i in range(n)]
-    return F.transform(F.arrays_zip(*[f.alias(f"g{i}") for i, f in enumerate(found)]), lambda z: F.struct(*[strip(z[str(i)]).alias(f"g{i}") for i in range(n)]))
+    places = F.when(F.size(found[0]) > 0, F.sequence(F.lit(0), F.size(found[0]) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.struct(*[strip(F.get(found[g], i)).alias(f"g{g}") for g in range(n)]))
 
 
 def _triple(s: Column, p: Column, o: Column) -> Column:
@@ -40,7 +41,11 @@ def pattern_triples(text: Column) -> Column:
     copula = F.when(F.rlike(text, F.lit(COPULA_HINT)), F.filter(F.slice(_groups(text, COPULA, 2), 1, 3), lambda m: (F.length(m["g0"]) > 2) & (F.length(m["g1"]) > 2))).otherwise(F.array().cast("array<struct<g0:string,g1:string>>"))
     title = F.slice(_groups(text, TITLE, 2), 1, 3)
     both = F.filter(F.slice(_groups(text, AND, 2), 1, 2), lambda m: (F.length(m["g0"]) > 2) & (F.length(m["g1"]) > 2))
-    named = [F.transform(a, lambda m, p=p: _triple(m["g0"], F.lit(p), m["g1"])) for a, p in ((copula, "IS_A"), (title, "RULES"), (both, "RELATED_TO"))]
+
+    def as_triples(found: Column, p: str) -> Column:
+        return F.transform(found, lambda m: _triple(m["g0"], F.lit(p), m["g1"]))
+
+    named = [as_triples(copula, "IS_A"), as_triples(title, "RULES"), as_triples(both, "RELATED_TO")]
     return F.when(text.isNull(), empty).otherwise(F.concat(*named))
 
 
