@@ -184,7 +184,7 @@ class Resolver:
 
     def merge(self, one: str, two: str, keep: str | None = None) -> str:
         """Two entities as one: frequencies add up, the other name becomes an alias."""
-        a, b = self.resolve(one, False), self.resolve(two, False)
+        a, b = (self.canonical.get(self.norm(x), self.aliases.get(self.norm(x), x)) for x in (one, two))
         kept = keep or self.select([a, b])
         gone = b if kept == a else a
         self.frequency[kept] = self.frequency.get(a, 0) + self.frequency.get(b, 0)
