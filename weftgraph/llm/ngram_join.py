@@ -211,7 +211,8 @@ def similar(spark: SparkSession, docs: DataFrame, words: int = WORDS, threshold:
     part = F.struct("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     placed = placed.select("s", F.col("doc_id").alias("d"), "copies", "rep", F.xxhash64(part).alias("part"), F.col("block").alias("side"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    met = texts.join(placed, F.col("doc_id").eqNullSafe(F.col("d"))).select("part", "rep", "copies", "s", "side", "text")
+    # shuffled at every size: the candidates grow with the corpus, and small ones must not change the plan
+    met = texts.join(placed.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d"))).select("part", "rep", "copies", "s", "side", "text")
     found = met.repartition("part").sortWithinPartitions("part").mapInArrow(_verify(words, threshold), "rep long, root long, links long")
     found = workspace.written(spark, found, "found")
     if several:
