@@ -19,6 +19,8 @@ WORDS, THRESHOLD = 5, 0.8
 RECALL, HASHES = 0.9995, 128
 #: Documents, and shingles, of a block that one task compares; a larger group is compared in pairs of blocks.
 BLOCK_DOCS, BLOCK_SHINGLES = 4096, 4_000_000
+#: Rows of a block whose similarities are held at a time.
+ROWS = 256
 SEED = 11
 CACHED = 300_000
 _words: dict[bytes, int] = {}
@@ -113,17 +115,17 @@ def linked(sets: list[np.ndarray], threshold: float, split: int | None = None) -
     order = np.argsort(column, kind="stable")
     doc, column = doc[order], column[order]
     out = []
-    for at in range(0, len(left), 1024):
-        rows = left[at : at + 1024]
+    for at in range(0, len(left), ROWS):
+        rows = left[at : at + ROWS]
         common = np.zeros((len(rows), len(right)), np.float32)
         for c in range(0, width, 2048):
             a, b = np.searchsorted(column, (c, c + 2048))
             x = np.zeros((n, min(2048, width - c)), np.float32)
             x[doc[a:b], column[a:b] - c] = 1
             common += x[rows] @ x[right].T
-        either = sizes[rows][:, None] + sizes[right][None, :] - common
-        i, j = np.nonzero(common >= threshold * either - 1e-6 * either)
-        i, j = rows[i], right[j]
+        either = (sizes[rows][:, None] + sizes[right][None, :]).astype(np.float32) - common
+        i, j = np.nonzero(common >= np.float32(threshold) * either - np.float32(1e-6) * either)
+        i, j = rows[i].astype(np.int32), right[j].astype(np.int32)
         keep = i < j
         out.append((i[keep], j[keep]))
     return out
@@ -140,26 +142,22 @@ def _verify(words: int, threshold: float):
                 own.append((side, rep, copies, x))
         own.sort(key=lambda r: (r[0], r[1]))
         cross = own and own[0][0] != own[-1][0]
-        root = list(range(len(own)))
-        links = np.zeros(len(own), np.int64)
-        copies = np.array([r[2] for r in own], np.int64)
-
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        if len(own) > 1:
-            for i, j in linked([r[3] for r in own], threshold, sum(r[0] == own[0][0] for r in own) if cross else None):
-                np.add.at(links, i, copies[j])
-                np.add.at(links, j, copies[i])
-                for a, b in zip(i.tolist(), j.tolist()):
-                    a, b = find(a), find(b)
-                    if a != b:
-                        root[max(a, b)] = min(a, b)
-        reps = [r[1] for r in own]
-        return pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array([reps[find(i)] for i in range(len(own))], pa.int64()), pa.array(links, pa.int64())], names=["rep", "root", "links"])
+        n = len(own)
+        links, copies, root = np.zeros(n), np.array([r[2] for r in own], float), np.arange(n)
+        if n > 1:
+            pairs = linked([r[3] for r in own], threshold, sum(r[0] == own[0][0] for r in own) if cross else None)
+            for i, j in pairs:
+                links += np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
+            before = None
+            while before is None or (before != root).any():  # the least member that links lead to
+                before = root.copy()
+                for i, j in pairs:
+                    least = np.minimum(root[i], root[j])
+                    np.minimum.at(root, i, least)
+                    np.minimum.at(root, j, least)
+                root = root[root]
+        reps = np.array([r[1] for r in own], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(reps), pa.array(reps[root]), pa.array(links.astype(np.int64))], names=["rep", "root", "links"])
 
     def run(batches):
         held, rows = None, []
