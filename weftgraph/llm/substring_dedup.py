@@ -52,58 +52,81 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
-def _levels(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the windows of 5, 10 and 20 words by start, and the anchor of each window of 20."""
-    a = words
+def _fives(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of 5 words by start, and the anchor of each window of 20: its least one, the first if equal."""
     two = _pair(a[:-1], a[1:])
     five = _pair(_pair(two[:-3], two[2:-1]), a[4:])
-    ten = _pair(five[:-5], five[5:])
-    twenty = _pair(ten[:-10], ten[10:])
-    anchors = np.lib.stride_tricks.sliding_window_view(five, _ANCHORS).argmin(axis=1) + np.arange(len(twenty))
-    return five, ten, twenty, anchors
+    # place of the least hash in runs of 1, 2, 4, 8 and 16, each from two of the half
+    best = np.arange(len(five))
+    for step in (1, 2, 4, 8):
+        left, right = best[:-step], best[step:]
+        best = np.where(five[right] < five[left], right, left)
+    return five, best
 
 
 def _inner(starts: np.ndarray, anchors: np.ndarray) -> np.ndarray:
-    """Start of the window of 10 words with the anchor inside each window of 20: the anchor's, or the last that fits."""
-    return np.minimum(anchors, starts + WINDOW // 2)
+    """Start of the window of 10 words inside each window of 20: from its anchor on, or from 5 before a late anchor.
+
+    The choice hangs on the anchor's place alone, so equal windows of 20 have equal inner windows in the same place.
+    """
+    return np.where(anchors - starts <= WINDOW // 2, anchors, anchors - BASE)
 
 
-def _candidates(level: int, words: np.ndarray, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _candidates(level: int, words: np.ndarray, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
     """(hashes, check hashes, starts) of a document's windows at a level, given the starts that repeat at the one before."""
-    five, ten, twenty, anchors = _levels(words)
-    starts = np.arange(len(twenty))
-    if level == 5:
+    five, anchors = _fives(words)
+    if level == BASE:
         at = np.unique(anchors)
-        return five[at], np.zeros(len(at), np.int32), at
-    if level == 10:
-        at = np.unique(_inner(starts, anchors)[np.isin(anchors, known)])
-        return ten[at], np.zeros(len(at), np.int32), at
-    at = starts[np.isin(_inner(starts, anchors), known)]
+        return five[at], None, at
+    starts = np.arange(len(anchors))
+    if level == 2 * BASE:
+        at = np.unique(_inner(starts, anchors)[_has(len(words), known)[anchors]])
+        return _pair(five[at], five[at + 5]), None, at
+    at = starts[_has(len(words), known)[_inner(starts, anchors)]]
+    ten = _pair(five[:-5], five[5:])
     check = _mix(_pair(five[at], five[at + 15]) ^ _pair(ten[at + 5], five[at + 7]))
-    return twenty[at], (check >> np.uint64(33)).astype(np.int32), at
+    return _pair(ten[at], ten[at + 10]), check >> np.uint64(33), at
+
+
+def _has(n: int, known: np.ndarray) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[known] = True
+    return out
 
 
 def _emit(level: int):
-    """Rows of a level: hashes to compare (``ask``), once a task and hash, and starts that already repeat in the task."""
+    """Rows of a level: hashes to compare, once a task and hash, and starts that already repeat in the task.
+
+    ``pack`` holds, from low to high, whether a row asks, whether its hash came more than once, the start (30 bits), and
+    on the last level 31 bits to be sure of the hash.
+    """
+    final = level == WINDOW
 
     def flush(parts):
         h = np.concatenate([p[0] for p in parts])
-        c = np.concatenate([p[1] for p in parts])
-        at = np.concatenate([p[2] for p in parts])
-        doc = np.concatenate([np.full(len(p[2]), p[3]) for p in parts])
-        row = np.concatenate([np.full(len(p[2]), p[4]) for p in parts])
-        order = np.lexsort((at, row, doc, c, h))
-        h, c, at, doc, row = h[order], c[order], at[order], doc[order], row[order]
+        at = np.concatenate([p[2] for p in parts]).astype(np.int64)
+        row = np.repeat([p[4] for p in parts], [len(p[2]) for p in parts])
+        order = np.argsort(h, kind="stable")
         first = np.ones(len(h), bool)
-        first[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-        group = np.cumsum(first) - 1
-        many = np.bincount(group)[group] > 1 if len(h) else first
+        if final:
+            c = np.concatenate([p[1] for p in parts]).astype(np.int64)
+            doc = np.repeat([p[3] for p in parts], [len(p[2]) for p in parts])
+            same = h[order][1:] == h[order][:-1]
+            shared = np.flatnonzero(np.append(same, False) | np.append(False, same))
+            own = order[shared]  # only rows with a hash in common need an order of their own
+            order[shared] = own[np.lexsort((at[own], row[own], doc[own], c[own], h[own]))]
+            h, at, row, c, doc = h[order], at[order], row[order], c[order], doc[order]
+            first[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+        else:
+            h, at, row = h[order], at[order], row[order]
+            first[1:] = h[1:] != h[:-1]
+        many = ~first
+        many[:-1] |= ~first[1:]
         key = h.view(np.int64).copy()
         key[~first] = _mix(row[~first].astype(np.uint64) * np.uint64(31) + at[~first].astype(np.uint64)).view(np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(first), pa.array(key), pa.array(c), pa.array(doc), pa.array(row), pa.array(at.astype(np.int32)), pa.array(many)],
-            names=["ask", "key", "sure", "doc", "row", "at", "many"],
-        )
+        pack = at << 2 | many.astype(np.int64) << 1 | first
+        columns = {"key": key, "row": row, "pack": pack | c << 32, "doc": doc} if final else {"key": key, "row": row, "pack": pack}
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], names=list(columns))
 
     def run(batches):
         parts, size = [], 0
@@ -135,34 +158,34 @@ def _repeats(final: bool):
     def run(batches):
         held = None  # the last row, until the next tells whether its hash repeats
         for batch in batches:
-            cols = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("ask", "key", "sure", "row", "at", "many")}
+            key, row, pack = (batch.column(n).to_numpy() for n in ("key", "row", "pack"))
+            before = False
             if held is not None:
-                cols = {n: np.concatenate([held[n], cols[n]]) for n in cols}
-            n = len(cols["ask"])
-            if not n:
+                key, row, pack = (np.concatenate([[h], x]) for h, x in zip(held[:3], (key, row, pack)))
+                before = held[3]
+            if not len(key):
                 continue
-            same = cols["ask"][1:] & cols["ask"][:-1] & (cols["key"][1:] == cols["key"][:-1]) & (cols["sure"][1:] == cols["sure"][:-1])
-            before = np.concatenate([[held is not None and bool(held["before"][0])], same])
-            after = np.concatenate([same, [False]])
-            if final:
-                hit = before | ~cols["ask"]
-            else:
-                hit = before | after | cols["many"]
+            ask = (pack & 1).astype(bool)
+            same = ask[1:] & ask[:-1] & (key[1:] == key[:-1]) & (pack[1:] >> 32 == pack[:-1] >> 32)
+            earlier = np.concatenate([[before], same])
+            hit = earlier | ~ask if final else earlier | np.append(same, False) | (pack & 2).astype(bool)
             out = hit[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(cols["row"][:-1][out]), pa.array(cols["at"][:-1][out])], names=["row", "at"])
-            held = {k: v[-1:] for k, v in cols.items()} | {"before": before[-1:]}
-        if held is not None and (held["before"][0] or (not held["ask"][0] if final else held["many"][0])):
-            yield pa.RecordBatch.from_arrays([pa.array(held["row"]), pa.array(held["at"])], names=["row", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(row[:-1][out]), pa.array(((pack[:-1][out] & 0xFFFFFFFF) >> 2).astype(np.int32))], names=["row", "at"])
+            held = (key[-1], row[-1], pack[-1], bool(earlier[-1]))
+        if held is not None and (held[3] or (not held[2] & 1 if final else held[2] & 2)):
+            yield pa.RecordBatch.from_arrays([pa.array([held[1]], pa.int64()), pa.array([(held[2] & 0xFFFFFFFF) >> 2], pa.int32())], names=["row", "at"])
 
     return run
 
 
 def _level(docs: DataFrame, level: int, known: DataFrame | None) -> DataFrame:
     """(row, at) of the starts that repeat at a level; ``docs``: row, doc_id, text, dealt by row."""
+    final = level == WINDOW
     rows = docs if known is None else docs.join(_lists(known), "row")
-    asked = rows.mapInArrow(_emit(level), "ask boolean, key long, sure int, doc long, row long, at int, many boolean")
-    dealt = asked.repartition("key").sortWithinPartitions("ask", "key", "sure", "doc", "row", "at")
-    return dealt.select("ask", "key", "sure", "row", "at", "many").mapInArrow(_repeats(level == WINDOW), "row long, at int")
+    asked = rows.mapInArrow(_emit(level), "key long, row long, pack long" + ", doc long" * final)
+    order = [F.col("key"), F.expr("pack & 1")] + [F.expr("shiftright(pack, 32)"), F.col("doc"), F.col("row"), F.col("pack")] * final
+    dealt = asked.repartition("key").sortWithinPartitions(*order)
+    return dealt.select("key", "row", "pack").mapInArrow(_repeats(final), "row long, at int")
 
 
 def _lists(found: DataFrame) -> DataFrame:
