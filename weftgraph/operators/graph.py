@@ -54,8 +54,8 @@ def undirected(edges: DataFrame) -> DataFrame:
 def seeds(entity_table: DataFrame, wanted: DataFrame) -> DataFrame:
     """(wanted) -> (wanted, entity): equal, else equal without case, else the shortest that contains or is contained.
 
-    Two equi-joins settle nearly all; only what neither finds is compared by containment, against a broadcast of the
-    unsettled names, which come from a question and are few.
+    Two equi-joins settle nearly all; only what neither finds is compared by containment. Those names come from a question
+    and are few; Spark checks their size before it broadcasts them.
     """
     e = entity_table.select("entity")
     exact = wanted.join(e, F.col("wanted") == F.col("entity")).select("wanted", "entity", F.lit(0).alias("tier"))
@@ -63,7 +63,7 @@ def seeds(entity_table: DataFrame, wanted: DataFrame) -> DataFrame:
     caseless = rest.join(e, F.lower("wanted") == F.lower("entity")).select("wanted", "entity", F.lit(1).alias("tier"))
     rest = rest.join(caseless, "wanted", "left_anti")
     inside = F.contains(F.lower("entity"), F.lower("wanted")) | F.contains(F.lower("wanted"), F.lower("entity"))
-    partial = e.join(F.broadcast(rest), inside).select("wanted", "entity", F.lit(2).alias("tier"))
+    partial = e.join(rest, inside).select("wanted", "entity", F.lit(2).alias("tier"))
     best = F.min(F.struct("tier", F.length("entity").alias("n"), "entity")).alias("b")
     return exact.unionByName(caseless).unionByName(partial).groupBy("wanted").agg(best).select("wanted", F.col("b.entity").alias("entity"))
 

@@ -59,8 +59,8 @@ def best_matches(candidates: DataFrame, entities: DataFrame) -> DataFrame:
     shared = F.size(F.array_intersect(words("c"), words("low")))
     most = F.greatest(F.size(F.array_distinct(words("c"))), F.size(F.array_distinct(words("low"))))
     score = F.when(F.contains("low", F.col("c")), F.length("c") / F.length("low")).when(F.contains("c", F.col("low")), F.length("low") / F.length("c")).otherwise(F.when(shared > 0, shared / most * 0.8).otherwise(0.0))
-    # candidates come from questions and are few; the entities stay where they are
-    scored = e.join(F.broadcast(rest), F.contains("low", F.col("c")) | F.contains("c", F.col("low")) | F.arrays_overlap(words("c"), words("low"))).withColumn("score", score).where("score > 0.5")
+    # candidates come from questions and are few; Spark checks their size before it broadcasts them
+    scored = e.join(rest, F.contains("low", F.col("c")) | F.contains("c", F.col("low")) | F.arrays_overlap(words("c"), words("low"))).withColumn("score", score).where("score > 0.5")
     best = scored.groupBy("candidate").agg(F.min(F.struct((-F.col("score")).alias("s"), F.length("entity").alias("n"), "entity")).alias("b"))
     return exact.unionByName(best.select("candidate", F.col("b.entity").alias("entity"), (-F.col("b.s")).alias("score")))
 
@@ -90,7 +90,7 @@ def legacy_entities(questions: DataFrame, entities: DataFrame, most: int = MOST_
     q = questions.select("qid", F.lower("question").alias("q")).withColumn("w", query_words("q", 3))
     hit = F.contains("q", F.col("low")) | F.exists("w", lambda x: F.contains(F.col("low"), x))
     w = W.partitionBy("qid").orderBy("entity")
-    return e.join(F.broadcast(q), hit).select("qid", "entity").distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    return e.join(q, hit).select("qid", "entity").distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
 def explain_entities(questions: DataFrame) -> DataFrame:
