@@ -236,3 +236,9 @@ def dedup_stats(resolved: DataFrame, frequency: DataFrame) -> DataFrame:
 
 def top_entities(frequency: DataFrame, k: int = 10) -> DataFrame:
     return frequency.orderBy(F.desc("n"), "canonical").limit(k)
+
+
+def dedup_delta(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: what a build added to the statistics of ``dedup_stats``."""
+    b = before.toDF(*[f"b_{c}" for c in before.columns])
+    return after.join(F.broadcast(b)).select(*[(F.col(c) - F.col(f"b_{c}")).alias(c) for c in ("canonicals", "aliases", "mentions")])

@@ -286,3 +286,18 @@ def insertions(spark, sf):
 @query("a2_page_stats", "SELECT l_linenumber::INT AS page_num, count(*) AS triples, count(DISTINCT l_suppkey) AS subjects FROM lineitem GROUP BY l_linenumber")
 def page_stats(spark, sf):
     return order_triples(spark, sf).groupBy("page_num").agg(F.count(F.lit(1)).alias("triples"), F.countDistinct("subject").alias("subjects"))
+
+
+@query("w5_same_entity_chain", f"WITH {EDGES_SQL}, {PAGES}, p AS (SELECT entity, unnest(pages) AS page_num FROM pg WHERE len(pages) >= 2), l AS (SELECT entity, page_num, lead(page_num) OVER (PARTITION BY entity ORDER BY page_num) AS nx FROM p) SELECT entity || '__page' || page_num AS source_id, entity || '__page' || nx AS target_id FROM l WHERE nx IS NOT NULL")
+def same_entity(spark, sf):
+    return comp.layered_edges(key_edges(spark, sf)).where("is_identity").select("source_id", "target_id")
+
+
+@query("a17_strategy", "SELECT o_orderkey, CASE WHEN o_orderkey % 400 < 50 THEN 'small' WHEN o_orderkey % 400 < 150 THEN 'medium' WHEN o_orderkey % 400 < 300 THEN 'large' ELSE 'massive' END AS strategy FROM orders")
+def strategies(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", graph.strategy(F.col("o_orderkey") % 400).alias("strategy"))
+
+
+@query("t8_first_neighbours", f"WITH {EDGES_SQL}, a AS (SELECT src AS entity, 'out' AS direction, relation, dst AS other, row_number() OVER (PARTITION BY src ORDER BY first_seq, dst) AS r FROM e UNION ALL SELECT dst, 'in', relation, src, row_number() OVER (PARTITION BY dst ORDER BY first_seq, src) FROM e) SELECT entity, direction, relation, other FROM a")
+def first_neighbours(spark, sf):
+    return graph.neighbours(key_edges(spark, sf)).drop("first_seq")

@@ -317,3 +317,24 @@ def resolve_standard(spark, sf):
 @query("n4_resolve_none", "SELECT DISTINCT p_name AS norm, p_name AS canonical FROM part")
 def resolve_none(spark, sf):
     return resolve.resolve_batch(table(spark, sf, "part").select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("mention")), "none")
+
+
+@query("a6_dedup_delta", f"WITH {MENTIONS}{BEST}, o AS (SELECT * FROM x WHERE seq % 2 = 0), ro AS (SELECT DISTINCT norm, split_part(norm, ' ', 1) AS g FROM o) SELECT (SELECT count(DISTINCT canonical) FROM r) - (SELECT count(DISTINCT g) FROM ro) AS canonicals, (SELECT count(*) FROM r) - (SELECT count(*) FROM ro) AS aliases, ((SELECT count(*) FROM m) - (SELECT count(*) FROM o))::BIGINT AS mentions")
+def dedup_delta(spark, sf):
+    def stats(m):
+        r = resolve.resolve_batch(m, "light")
+        return resolve.dedup_stats(r, resolve.entity_frequency(m, r))
+
+    m = _mentions(spark, sf)
+    return resolve.dedup_delta(stats(m.where("seq % 2 = 0")), stats(m))
+
+
+@query("o4_word_overlap", "SELECT a.p_partkey, len(list_intersect(string_split(a.p_name, ' '), ['red', 'ring', 'small']))::INT AS shared FROM part a")
+def word_overlap(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.size(F.array_intersect(tx.words("p_name"), F.array(F.lit("red"), F.lit("ring"), F.lit("small")))).alias("shared"))
+
+
+@query("s4_page_passages")
+def page_passages(spark, sf):
+    pages = _docs(spark, sf).select(F.col("doc_id").alias("page_num"), F.concat(F.lit("page"), "doc_id").alias("page"), "source", F.col("text").alias("content"))
+    return files.passages(pages)
