@@ -368,7 +368,7 @@ def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
     texts = near_copies(13, 30)
-    rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)] + [(100, texts[0] + " ", "en", "s0", 1), (101, None, None, None, None), (102, "", "en", "s1", 0), (103, "123 456", "en", "s1", 7)]
+    rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)] + [(100, texts[0].replace(" ", "  \n", 1), "en", "s0", 1), (101, None, None, None, None), (102, "", "en", "s1", 0), (103, "123 456", "en", "s1", 7)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     columns, kept = docs.columns, []

@@ -104,8 +104,8 @@ def mixed(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None
 
     ``position`` is the row's place in the mix, from 0 without gaps but inside the last block of a source. Up to any
     slot of a phase, each source has had its weight's share of the blocks to less than one block. ``weights``: target
-    weight of each source by name, missing ones 0 parts of the rest are given 1e-9; by default the share of rows to the
-    power ``POWER``. Inside a source rows come in the order of a seeded hash of doc_id, then doc_id.
+    weight of each source by name, where a missing one counts as 1e-9; by default the share of rows to the power
+    ``POWER``. Inside a source rows come in the order of a seeded hash of doc_id, then doc_id.
 
     Nulls: rows without a source are a source of their own; a null doc_id is ordered first among equal hashes. Empty
     and very long texts count as one row each. Ties and repeated rows take one place each. An empty table gives an
