@@ -107,25 +107,26 @@ def _emit(level: int):
         at = np.concatenate([p[2] for p in parts]).astype(np.int64)
         row = np.repeat([p[4] for p in parts], [len(p[2]) for p in parts])
         order = np.argsort(h, kind="stable")
-        first = np.ones(len(h), bool)
+        ranked = h[order]
+        same = ranked[1:] == ranked[:-1]
         if final:
             c = np.concatenate([p[1] for p in parts]).astype(np.int64)
             doc = np.repeat([p[3] for p in parts], [len(p[2]) for p in parts])
-            same = h[order][1:] == h[order][:-1]
             shared = np.flatnonzero(np.append(same, False) | np.append(False, same))
             own = order[shared]  # only rows with a hash in common need an order of their own
             order[shared] = own[np.lexsort((at[own], row[own], doc[own], c[own], h[own]))]
-            h, at, row, c, doc = h[order], at[order], row[order], c[order], doc[order]
-            first[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-        else:
-            h, at, row = h[order], at[order], row[order]
-            first[1:] = h[1:] != h[:-1]
-        many = ~first
-        many[:-1] |= ~first[1:]
+            same &= c[order][1:] == c[order][:-1]
+        first, many = np.ones(len(h), bool), np.zeros(len(h), bool)
+        first[order[1:]] = ~same
+        many[order[1:]] = same
+        many[order[:-1]] |= same
+        # rows stay in the order of their documents, and those that don't ask go with their document: both compress well
         key = h.view(np.int64).copy()
-        key[~first] = _mix(row[~first].astype(np.uint64) * np.uint64(31) + at[~first].astype(np.uint64)).view(np.int64)
+        key[~first] = _mix(row[~first].astype(np.uint64)).view(np.int64)
         pack = at << 2 | many.astype(np.int64) << 1 | first
-        columns = {"key": key, "row": row, "pack": pack | c << 32, "doc": doc} if final else {"key": key, "row": row, "pack": pack}
+        if final:
+            pack |= np.where(first, c, 0) << 32
+        columns = {"key": key, "row": row, "pack": pack} | ({"doc": doc} if final else {})
         return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], names=list(columns))
 
     def run(batches):
