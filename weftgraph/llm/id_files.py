@@ -28,6 +28,8 @@ MAGIC, VERSION = b"WIDS", 1
 SHARD_IDS = 2_000_000
 #: Mean keys of a bucket of the hash.
 BUCKET = 4
+#: Pilots tried at a time.
+TRIED = 128
 NULL_KEY = -(1 << 63) + 12345
 _HEAD = struct.Struct("<4sIIIQQQB3x")
 
@@ -61,12 +63,19 @@ def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             own = order[starts[b] : starts[b + 1]]
             if not len(own):
                 break
-            pilot = 0
-            while True:
-                p = (_mix(base[own] ^ _hash(np.array([pilot]), 3)) % np.uint64(n)).astype(np.int64)
-                if free[p].all() and (len(p) == 1 or len(np.unique(p)) == len(p)):
-                    break
-                pilot += 1
+            pilot, found = 0, None
+            while found is None:  # pilots are tried many at a time
+                tried = np.arange(pilot, pilot + TRIED)
+                spots = (_mix(base[own] ^ _hash(tried, 3)[:, None]) % np.uint64(n)).astype(np.int64)
+                fits = free[spots].all(axis=1)
+                if len(own) > 1 and fits.any():
+                    rows = np.flatnonzero(fits)
+                    apart = np.sort(spots[rows], axis=1)
+                    fits[rows] = (apart[:, 1:] != apart[:, :-1]).all(axis=1)
+                if fits.any():
+                    found = int(fits.argmax())
+                pilot += TRIED
+            pilot, p = int(tried[found]), spots[found]
             free[p] = False
             slots[own], pilots[b] = p, pilot
     prints = np.zeros(n, np.uint32)
