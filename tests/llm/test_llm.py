@@ -280,6 +280,19 @@ def test_op8_rows(spark, edge, empty):
     assert mixing.mixed(spark, empty).count() == 0 and mixing.mix(spark, empty).count() == 0
 
 
+def test_op8_every_source_has_its_lane(spark):
+    names = [f"s{i:02}" for i in range(80)]
+    weights = {s: 0.005 if i % 2 else 0.02 for i, s in enumerate(names)}  # in sum 1
+    df = spark.createDataFrame([(80 * j + i, s, "x") for i, s in enumerate(names) for j in range(10)], "doc_id long, source string, text string")
+    got = mixing.mixed(spark, df, weights, block=1).orderBy("position").collect()
+    assert [r["position"] for r in got] == list(range(800)) and len({(r["source"], r["lane"]) for r in got}) == len({r["lane"] for r in got}) == 80
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+    had = Counter()
+    for t, r in enumerate(got[:400]):  # no source has run out
+        had[r["source"]] += 1
+        assert all(abs(had[s] - (t + 1) * w) < 1 - 1e-9 for s, w in weights.items())
+
+
 def brute_links(texts):
     sets = [set(zip(*(w[i:] for i in range(min(5, len(w)))))) if (w := (t or "").split()) else set() for t in texts]
     links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from . import workspace
 
-#: Rows of a block, slots of a period, and lanes: sources beyond the largest ``LANES - 1`` share one lane.
-BLOCK, PERIOD, LANES = 16, 1000, 64
+#: Rows of a block, and slots of a period.
+BLOCK, PERIOD = 16, 1000
 #: Weights by default: a source's share to this power.
 POWER = 0.5
 SEED = 3
@@ -113,10 +113,10 @@ def mixed(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None
     """
     workspace.prepare(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("h"))
-    counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("source")).limit(LANES - 1).collect()
-    lanes = {r["source"]: i for i, r in enumerate(counts)}  # the largest sources; all others share lane LANES - 1
+    counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("source")).collect()  # one row a source
+    lanes = {r["source"]: i for i, r in enumerate(counts)}  # every source has its own, the largest first
     table = spark.createDataFrame([(k, i) for k, i in lanes.items()], "name string, lane int") if lanes else spark.createDataFrame([], "name string, lane int")
-    rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name")), "left").select("doc_id", "source", "h", F.coalesce("lane", F.lit(LANES - 1)).alias("lane"))
+    rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "source", "h", "lane")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     keyed = rows.withColumn("o", F.xxhash64(F.col("doc_id"), F.lit(SEED)))
     ordered = keyed.repartitionByRange(n, "lane", "o", "doc_id", "h").sortWithinPartitions("lane", "o", "doc_id", "h")
