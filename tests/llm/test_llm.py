@@ -293,6 +293,29 @@ def test_op8_every_source_has_its_lane(spark):
         assert all(abs(had[s] - (t + 1) * w) < 1 - 1e-9 for s, w in weights.items())
 
 
+def test_op8_deviation_from_the_given_weights():
+    rng = random.Random(14)
+    drawn = [rng.random() ** 3 for _ in range(12)]
+    for weights in ([1 / 3] * 3, [0.7, 0.2998, 0.0002], drawn):
+        want = np.array(weights) / sum(weights)
+        blocks = {i: int(w * 30000) + 2 for i, w in enumerate(want)}
+        plan = mixing.phases(blocks, dict(enumerate(weights)))
+        lane = np.concatenate([np.full(n, i) for i, n in blocks.items()])
+        slot, release, deadline = mixing.positions(plan, lane, np.concatenate([np.arange(n) for n in blocks.values()]))
+        assert sorted(slot.tolist()) == list(range(len(slot))) and (release <= slot).all() and (slot < deadline).all()
+        order, end = lane[np.argsort(slot)], plan[1][0]
+        assert end > 20000
+        for i, w in enumerate(want):
+            assert (np.abs(np.cumsum(order[:end] == i) - np.arange(1, end + 1) * w) < 1).all()
+
+
+def test_op8_many_sources_that_run_out_at_once():
+    blocks = {i: 1 + i % 3 for i in range(20000)}
+    plan = mixing.phases(blocks, {i: n**0.5 for i, n in blocks.items()})
+    assert sorted(plan.slot.tolist()) == list(range(sum(blocks.values()))) and len(plan) == len(blocks)
+    assert (plan.release <= plan.slot).all() and (plan.slot < plan.deadline).all()
+
+
 def brute_links(texts):
     sets = [set(zip(*(w[i:] for i in range(min(5, len(w)))))) if (w := (t or "").split()) else set() for t in texts]
     links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]

@@ -1,15 +1,16 @@
 """Operator 8: mixing sources to target weights by Pfair scheduling with earliest deadline first.
 
 Rows of a source are dealt into blocks. Block i of a source with weight w has its release at floor(i / w) and its
-deadline at ceil((i + 1) / w), in slots of one block. Weights are whole parts of a period, so that the schedule of one
-period, found by earliest deadline first, repeats; a block's slot then follows from its number alone. When a source
-has no blocks left, the weights of the others are made up to one again, and a new phase begins: phases are at most as
-many as sources.
+deadline at ceil((i + 1) / w), in slots of one block. Weights are whole numbers as exact as the floats given, and the
+schedule is found for all blocks by earliest deadline first. When a source has no blocks left, the weights of the
+others are made up to one again, and a new phase begins: phases are at most as many as sources.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Sequence
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -19,93 +20,101 @@ from pyspark.sql import functions as F
 
 from . import workspace
 
-#: Rows of a block, and slots of a period.
-BLOCK, PERIOD = 16, 1000
-#: Weights by default: a source's share to this power.
-POWER = 0.5
+#: Rows of a block.
+BLOCK = 16
+#: Weights by default: a source's share to this power; weight of a source that has none, or 0, among given ones.
+POWER, LEAST = 0.5, 1e-9
 SEED = 3
 
 
-def shares(weights: dict[int, float], period: int = PERIOD) -> dict[int, int]:
-    """Weights -> whole slots of a period, at least one each, by largest remainder."""
-    if not weights:
-        return {}
-    period = max(period, len(weights))
-    total = sum(weights.values())
-    exact = {k: w / total * period for k, w in weights.items()}
-    out = {k: max(1, int(x)) for k, x in exact.items()}
-    order = sorted(weights, key=lambda k: (out[k] - exact[k], k))
-    i = 0
-    while sum(out.values()) < period:
-        out[order[i % len(order)]] += 1
-        i += 1
-    while sum(out.values()) > period:
-        big = max(out, key=lambda k: (out[k] - exact[k] if out[k] > 1 else -period, k))
-        out[big] -= 1
-    return out
-
-
-def period_slots(parts: dict[int, int]) -> dict[int, np.ndarray]:
-    """Slots of each lane's blocks in one period: of the released blocks the one with the earliest deadline comes next."""
-    period = sum(parts.values())
-    waiting = [(0, lane, 0) for lane in parts]  # release, lane, block
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, int]] = []
-    slots: dict[int, list[int]] = {lane: [] for lane in parts}
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            _, lane, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * period // parts[lane]), lane, i))
-        _, lane, i = heapq.heappop(ready)
-        slots[lane].append(t)
-        if i + 1 < parts[lane]:
-            heapq.heappush(waiting, ((i + 1) * period // parts[lane], lane, i + 1))
-    return {lane: np.array(s, np.int64) for lane, s in slots.items()}
-
-
-def phases(blocks: dict[int, int], weights: dict[int, float], period: int = PERIOD) -> list[tuple[int, dict[int, int], dict[int, int], dict[int, np.ndarray]]]:
-    """[(first slot, blocks of each lane before it, parts, slots)]: a phase ends with the block that empties a lane."""
-    left, done, at, out = dict(blocks), {k: 0 for k in blocks}, 0, []
-    while any(left.values()):
-        parts = shares({k: weights[k] for k in left if left[k]}, period)
-        slots = period_slots(parts)
-        size = sum(parts.values())
-        # the slot in which the first lane to run out places its last block
-        end = min(((left[k] - 1) // parts[k]) * size + int(slots[k][(left[k] - 1) % parts[k]]) for k in parts) + 1
-        out.append((at, dict(done), parts, slots))
-        for k in parts:
-            n = end // size * parts[k] + int(np.searchsorted(slots[k], end % size))
-            left[k] -= n
-            done[k] += n
-        at += end
-    return out
-
-
-def positions(plan, lane: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Plan(Sequence):
+    """Phases, each (first slot, sum of weights, weights of the lanes with blocks left, lane it empties), and each lane's blocks."""
+
+    def __init__(self, weights: dict[int, float], blocks: dict[int, int]):
+        self.weights, self.starts, self.gone = weights, [], []
+        self.lanes = sorted(k for k in blocks if blocks[k])
+        self.first = np.cumsum([0] + [blocks[k] for k in self.lanes])
+        self.slot, self.release, self.deadline = (np.zeros(int(self.first[-1]), np.int64) for _ in range(3))
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def __getitem__(self, i):
+        i = range(len(self))[i]
+        parts = {k: self.weights[k] for k in self.gone[i:]}
+        return self.starts[i], sum(parts.values()), parts, self.gone[i]
+
+
+def _whole(weights: dict[int, float]) -> dict[int, int]:
+    """Whole numbers in the very proportion of the weights."""
+    exact = {k: Fraction(w) for k, w in weights.items()}
+    if any(w <= 0 for w in exact.values()):
+        raise ValueError("weights must be over 0")
+    scale = max((w.denominator for w in exact.values()), default=1)  # powers of two, as of all floats
+    return {k: int(w * scale) for k, w in exact.items()}
+
+
+def phases(blocks: dict[int, int], weights: dict[int, float], period: int | None = None) -> Plan:
+    """The schedule of all blocks: of the released ones the one with the earliest deadline comes next.
+
+    A phase ends with the block that empties a lane. A lane enters a phase's queue with its first block, in the order of
+    weights, so that a phase costs its own slots. ``period`` has no effect: no weight is rounded.
+    """
+    plan, whole = Plan(weights, blocks), _whole({k: weights[k] for k in blocks if blocks[k]})
+    first = {k: int(plan.first[i]) for i, k in enumerate(plan.lanes)}
+    left, done, total, at = set(first), dict.fromkeys(first, 0), sum(whole.values()), 0
+    order = sorted(whole, key=lambda k: (-whole[k], k))  # first deadlines are in this order in every phase
+    place, after = {k: i for i, k in enumerate(order)}, list(range(len(order) + 1))
+
+    def there(i: int) -> int:
+        """The first place from ``i`` on whose lane has blocks left; what it passes is shortened."""
+        while after[i] != i:
+            after[i] = i = after[after[i]]
+        return i
+
+    while left:
+        plan.starts.append(at)
+        fresh, t = 0, 0  # place in ``order`` of the next lane without a block in this phase, and slot of the phase
+        waiting: list[tuple[int, int, int, int]] = []  # release, -weight, lane, block of the phase
+        ready: list[tuple[int, int, int, int]] = []  # deadline, -weight, lane, block of the phase
+        while True:
+            while waiting and waiting[0][0] <= t:
+                _, w, k, i = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(i + 1) * total // -w), w, k, i))
+            fresh = there(fresh)
+            new = fresh < len(order) and (-(-total // whole[order[fresh]]), -whole[order[fresh]], order[fresh], 0)
+            if new and (not ready or new < ready[0]):
+                (end, w, k, i), fresh = new, fresh + 1
+            else:
+                end, w, k, i = heapq.heappop(ready)
+            x = first[k] + done[k]
+            plan.slot[x], plan.release[x], plan.deadline[x] = at + t, at + i * total // -w, at + end
+            done[k] += 1
+            t += 1
+            if done[k] == blocks[k]:
+                break
+            heapq.heappush(waiting, ((i + 1) * total // -w, w, k, i + 1))
+        at += t
+        plan.gone.append(k)
+        total -= whole[k]
+        after[place[k]] += 1
+        left.remove(k)
+    return plan
+
+
+def positions(plan: Plan, lane: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(slot, release, deadline) of blocks by lane and number."""
-    slot, release, deadline = (np.zeros(len(lane), np.int64) for _ in range(3))
-    for k in np.unique(lane):
-        own = np.flatnonzero(lane == k)
-        starts = np.array([p[1][int(k)] for p in plan])
-        # a lane that a phase gives nothing shares its start with the next phase: the last such phase with parts counts
-        which = np.searchsorted(starts, block[own], "right") - 1
-        for i in np.unique(which):
-            at, before, parts, slots = plan[i]
-            rows = own[which == i]
-            n, own_parts, size = block[rows] - before[int(k)], parts[int(k)], sum(parts.values())
-            slot[rows] = at + n // own_parts * size + slots[int(k)][n % own_parts]
-            release[rows] = at + n * size // own_parts
-            deadline[rows] = at - (-(n + 1) * size // own_parts)
-    return slot, release, deadline
-
-
-def mixed(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+    x = plan.first[np.searchsorted(plan.lanes, lane)] + block
+    return plan.slot[x], plan.release[x], plan.deadline[x]
+
+
+def mixed(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
     """``docs`` (doc_id, source, text, ...) -> (doc_id, source, lane, block, slot, release, deadline, position, h), one row per row.
 
     ``position`` is the row's place in the mix, from 0 without gaps but inside the last block of a source. Up to any
     slot of a phase, each source has had its weight's share of the blocks to less than one block. ``weights``: target
-    weight of each source by name, where a missing one counts as 1e-9; by default the share of rows to the power
-    ``POWER``. Inside a source rows come in the order of a seeded hash of doc_id, then doc_id.
+    weight of each source by name, where a missing one, or 0, counts as ``LEAST``; by default the share of rows to the
+    power ``POWER``. The driver and each worker hold 24 bytes a block. Inside a source rows come in the order of a seeded hash of doc_id, then doc_id.
 
     Nulls: rows without a source are a source of their own; a null doc_id is ordered first among equal hashes. Empty
     and very long texts count as one row each. Ties and repeated rows take one place each. An empty table gives an
@@ -140,8 +149,8 @@ def mixed(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None
     before = by_task.select("lane", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     sizes = {r["lane"]: r["n"] for r in by_task.groupBy("lane").agg(F.sum("n").alias("n")).collect()}  # one row a lane
     names = {i: k for k, i in lanes.items()}
-    target = {k: (weights or {}).get(names.get(k), 1e-9) if weights is not None else (m / sum(sizes.values())) ** POWER for k, m in sizes.items()}
-    plan = phases({k: -(-m // block) for k, m in sizes.items()}, target, period)
+    target = {k: (weights.get(names[k]) or LEAST) if weights is not None else (m / sum(sizes.values())) ** POWER for k, m in sizes.items()}
+    plan = phases({k: -(-m // block) for k, m in sizes.items()}, target)
     shared = spark.sparkContext.broadcast(plan)
 
     def place(batches):
