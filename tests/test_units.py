@@ -237,3 +237,34 @@ def test_optional_subpackage():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "llm" not in re.findall(r"^\s*(?:from|import)\s+[\w.]*\.?(llm)\b", p.read_text(), re.M)
+
+
+def brute_communities(pairs):
+    pairs = {tuple(sorted(p)) for p in pairs}
+    m, groups = len(pairs), [{x} for x in sorted({x for p in pairs for x in p})]
+    while True:
+        of = {x: i for i, g in enumerate(groups) for x in g}
+        degree, links = [0] * len(groups), {}
+        for a, b in pairs:
+            i, j = sorted((of[a], of[b]))
+            degree[i] += 1
+            degree[j] += 1
+            if i != j:
+                links[i, j] = links.get((i, j), 0) + 1
+        best = min(((degree[i] * degree[j] - 2 * m * w, i, j) for (i, j), w in links.items()), default=(0,))
+        if best[0] >= 0:
+            return [sorted(g) for g in sorted(groups, key=lambda g: (-len(g), min(g)))]
+        groups[best[1]] |= groups.pop(best[2])
+
+
+def test_communities_at_every_size(spark):
+    rng = random.Random(15)
+    star = [("hub", f"leaf{i:03}") for i in range(400)]
+    small = [(f"a{rng.randint(0, 30)}", f"a{rng.randint(0, 30)}") for _ in range(60)]
+    large = [(f"{c}{rng.randint(0, 40)}", f"{c}{rng.randint(0, 40)}") for c in "bcdefghij" for _ in range(60)] + [("b0", "c0"), ("d0", "e0")]
+    for pairs in (star, small, large):
+        pairs = [p for p in pairs if p[0] != p[1]]
+        df = spark.createDataFrame([(a, b) for a, b in pairs], "src string, dst string")
+        got = components.communities(df).collect()
+        want = {x: i for i, g in enumerate(brute_communities(pairs)) for x in g}
+        assert {r["entity"]: r["community"] for r in got} == want and {r["algo"] for r in got} == {"greedy modularity"}

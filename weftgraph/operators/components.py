@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import pandas as pd
@@ -10,11 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .settle import settle
-from .graph import RELATED, common_entities, entities, entity_pages, undirected
-
-#: Nodes up to which communities are found by greedy modularity, in one task; beyond, by label propagation.
-EXACT_NODES = 300
-
+from .graph import RELATED, common_entities, entity_pages, undirected
 
 def components(edges: DataFrame) -> DataFrame:
     """(entity, component): weakly connected components named by their least entity, by label propagation with checkpoints."""
@@ -33,12 +30,16 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _greedy(nodes: list[str], pairs: list[tuple[str, str]]) -> dict[str, int]:
-    """Communities by merging, again and again, the two that raise modularity most."""
+def _greedy(nodes: list[str], pairs: list[tuple[str, str]], total: int | None = None) -> list[list[str]]:
+    """Communities by merging, again and again, the two that raise modularity most; ties go to the first by name.
+
+    ``total``: edges of the whole graph, when these are only some of its components. Gains are whole numbers, times
+    2 m^2. A merge only lowers gains but where both had a link, so a gain in the queue is the true one or too high.
+    """
     index = {n: i for i, n in enumerate(nodes)}
-    weight: dict[int, dict[int, float]] = {i: {} for i in index.values()}
-    m = len(pairs)
-    degree = dict.fromkeys(weight, 0)
+    weight: list[dict[int, int]] = [{} for _ in nodes]
+    m = total or len(pairs)
+    degree, least, members = [0] * len(nodes), list(range(len(nodes))), [[n] for n in nodes]
     for a, b in pairs:
         i, j = index[a], index[b]
         degree[i] += 1
@@ -46,48 +47,65 @@ def _greedy(nodes: list[str], pairs: list[tuple[str, str]]) -> dict[str, int]:
         if i != j:
             weight[i][j] = weight[i].get(j, 0) + 1
             weight[j][i] = weight[j].get(i, 0) + 1
-    members = {i: [n] for n, i in index.items()}
-    while m:
-        gain, pair = 1e-12, None
-        for i, near in weight.items():
-            for j, w in near.items():
-                if i < j and (g := w / m - degree[i] * degree[j] / (2 * m * m)) > gain:
-                    gain, pair = g, (i, j)
-        if pair is None:
-            break
-        i, j = pair
-        for k, w in weight.pop(j).items():
-            weight[k].pop(j, None)
+    into = list(range(len(nodes)))
+
+    def root(i: int) -> int:
+        while into[i] != i:
+            into[i] = i = into[into[i]]
+        return i
+
+    def entry(i: int, j: int) -> tuple[int, int, int, int, int]:
+        x, y = sorted((least[i], least[j]))
+        return degree[i] * degree[j] - 2 * m * weight[i][j], x, y, i, j
+
+    queue = [entry(i, j) for i, near in enumerate(weight) for j in near if i < j]
+    heapq.heapify(queue)
+    while queue and queue[0][0] < 0:
+        old = heapq.heappop(queue)
+        i, j = root(old[3]), root(old[4])
+        if i == j:
+            continue
+        if (now := entry(i, j))[:3] != old[:3]:
+            if now[0] < 0:
+                heapq.heappush(queue, now)
+            continue
+        if len(weight[i]) < len(weight[j]):
+            i, j = j, i
+        into[j], least[i] = i, min(least[i], least[j])
+        members[i] += members[j]
+        degree[i] += degree[j]
+        both = []
+        for k, w in weight[j].items():
+            del weight[k][j]
             if k != i:
-                weight[i][k] = weight[i].get(k, 0) + w
-                weight[k][i] = weight[i][k]
-        members[i] += members.pop(j)
-        degree[i] += degree.pop(j)
-    ordered = sorted(members.values(), key=lambda c: (-len(c), min(c)))
-    return {n: k for k, c in enumerate(ordered) for n in c}
-
-
-def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(entity, community, algo): communities by size from 0; greedy modularity up to EXACT_NODES nodes, else label propagation."""
-    n = entities(edges).limit(EXACT_NODES + 1).count()
-    if n <= EXACT_NODES:
-        pairs = edges.select("src", "dst").withColumn("one", F.lit(1))
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            names = sorted({*pdf.src, *pdf.dst})
-            found = _greedy(names, sorted({tuple(sorted(p)) for p in zip(pdf.src, pdf.dst)}))
-            return pd.DataFrame({"entity": names, "community": [found[x] for x in names]})
-
-        return pairs.groupBy("one").applyInPandas(run, "entity string, community long").withColumn("algo", F.lit("greedy modularity"))
-    around = undirected(edges)
-    labels = entities(edges).withColumn("label", F.col("entity"))
-    for _ in range(rounds):
-        votes = around.join(labels.select(F.col("entity").alias("other"), "label"), "other").groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
-        best = votes.groupBy("node").agg(F.max(F.struct("n", "label")).alias("b"))
-        labels = best.select(F.col("node").alias("entity"), F.col("b.label").alias("label"))
-        labels = settle(labels)
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    return labels.join(sizes, "label").select("entity", F.xxhash64("label").alias("community"), F.lit("label propagation").alias("algo"))
+                if k in weight[i]:
+                    both.append(k)
+                weight[i][k] = weight[k][i] = weight[i].get(k, 0) + w
+        for k in both:
+            heapq.heappush(queue, entry(i, k))
+        weight[j], members[j] = {}, []
+    return [sorted(x) for x in members if x]
+
+
+def communities(edges: DataFrame) -> DataFrame:
+    """(entity, community, algo): communities by size from 0, of equal ones the first by name; greedy modularity at every size.
+
+    No merge across components raises modularity, and a merge changes no gain in another component: each component meets
+    in one task, with the number of edges of the whole graph, and the result is that of the whole graph.
+    """
+    pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    total = pairs.count()
+    parts = components(edges)
+    placed = pairs.join(parts.withColumnRenamed("entity", "a"), "a")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = _greedy(sorted({*pdf.a, *pdf.b}), sorted(zip(pdf.a, pdf.b)), total)
+        return pd.DataFrame([(x, c[0]) for c in found for x in c], columns=["entity", "head"])
+
+    found = settle(placed.groupBy("component").applyInPandas(run, "entity string, head string"))
+    sizes = found.groupBy("head").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "head").select("head")
+    ranks = edges.sparkSession.createDataFrame(sizes.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1])), "head string, community long")
+    return found.join(ranks, "head").select("entity", "community", F.lit("greedy modularity").alias("algo"))
 
 
 def ranked_communities(found: DataFrame, k: int = 10, palette: int = 10) -> DataFrame:
