@@ -268,3 +268,29 @@ def test_communities_at_every_size(spark):
         got = components.communities(df).collect()
         want = {x: i for i, g in enumerate(brute_communities(pairs)) for x in g}
         assert {r["entity"]: r["community"] for r in got} == want and {r["algo"] for r in got} == {"greedy modularity"}
+
+
+def test_whole_graph_queries_equal_brute_force(spark):
+    from weftgraph.plans import registry
+    from weftgraph.plans.kg import key_edges
+
+    sf = "/root/testdata/sf0.001"
+    pairs = {tuple(sorted((r["src"], r["dst"]))) for r in key_edges(spark, sf).select("src", "dst").collect()}
+    nodes = {x for p in pairs for x in p}
+    root = {x: x for x in nodes}
+    for _ in nodes:
+        old = dict(root)
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+        if old == root:
+            break
+    rows = lambda name: registry.QUERIES[name](spark, sf).collect()
+    assert len(nodes) > 100 and {r["entity"]: r["component"] for r in rows("g9_components_all")} == root
+    stats = rows("a13_graph_stats_all")[0]
+    assert stats["nodes"] == len(nodes) and stats["is_connected"] == (len(set(root.values())) == 1)
+    found = {r["entity"]: r["community"] for r in rows("g8_communities")}
+    assert found.keys() == nodes
+    for r in rows("w10_ranked_communities_all"):
+        assert r["size"] == sum(c == r["community"] for c in found.values()) and r["rank"] == r["community"] + 1
+    assert all(r["community"] == found[r["entity"]] for r in rows("j20_node_communities"))
+    assert {r["entity"] for r in rows("g11_page_layout")} == nodes

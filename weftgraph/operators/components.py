@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from .settle import settle
 from .graph import RELATED, common_entities, entity_pages, undirected
 
+#: Distances that a layout holds at a time.
+CELLS = 1 << 20
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(entity, component): weakly connected components named by their least entity, by label propagation with checkpoints."""
     around = undirected(edges)
@@ -126,13 +130,16 @@ def _spring(names: list[str], pairs: list[tuple[int, int]], rounds: int = 50, se
     n = len(names)
     at = np.random.default_rng(seed).random((n, 2))
     k, heat = 2 / math.sqrt(max(1, n)), 0.1
-    pull = np.zeros((n, n))
-    for i, j in pairs:
-        pull[i, j] = pull[j, i] = 1
+    one, two = np.array(sorted({p for i, j in pairs for p in ((i, j), (j, i))}), int).reshape(-1, 2).T
     for r in range(rounds):
-        d = at[:, None] - at[None]
+        force = np.empty((n, 2))
+        for a in range(0, n, step := max(1, CELLS // max(1, n))):
+            d = at[a : a + step, None] - at[None]
+            far = np.maximum(np.sqrt((d**2).sum(-1)), 0.01)
+            force[a : a + step] = (d * (k * k / far**2)[..., None]).sum(1)
+        d = at[one] - at[two]
         far = np.maximum(np.sqrt((d**2).sum(-1)), 0.01)
-        force = (d * ((k * k / far**2) - pull * far / k)[..., None]).sum(1)
+        np.subtract.at(force, one, d * (far / k)[:, None])
         size = np.maximum(np.sqrt((force**2).sum(-1)), 1e-9)
         at = at + force / size[:, None] * np.minimum(size, heat * (1 - r / rounds))[:, None]
     return at
