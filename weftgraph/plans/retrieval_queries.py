@@ -126,11 +126,21 @@ def provenance(spark, sf):
 
 @query("s12_page_texts", "SELECT doc_id::INT AS page_num, CASE WHEN length(text) > 10000 THEN left(text, 10000) || chr(10) || '... [' || (length(text) - 10000) || ' more characters]' ELSE text END AS text FROM documents WHERE doc_id BETWEEN 1 AND 900 UNION ALL SELECT 99999, '[Page 99999 not found]'")
 def page_texts(spark, sf):
+    return _page_texts(spark, sf, "doc_id BETWEEN 1 AND 900")
+
+
+@query("s12_all_page_texts", "SELECT doc_id::INT AS page_num, CASE WHEN length(text) > 10000 THEN left(text, 10000) || chr(10) || '... [' || (length(text) - 10000) || ' more characters]' ELSE text END AS text FROM documents UNION ALL SELECT (SELECT max(doc_id) + 1 FROM documents)::INT, '[Page ' || (SELECT max(doc_id) + 1 FROM documents) || ' not found]'")
+def all_page_texts(spark, sf):
+    return _page_texts(spark, sf, None)
+
+
+def _page_texts(spark, sf, some):
     d = table(spark, sf, "documents")
     n = F.col("doc_id").cast("int")
     name = F.when(n % 3 == 0, F.format_string("page%03d.txt", n)).when(n % 3 == 1, F.format_string("page%04d.txt", n)).otherwise(F.format_string("page_%03d.txt", n))
     pages = d.select(F.concat(F.lit("/in/"), name).alias("source"), name.alias("page"), F.col("text").alias("content"))
-    wanted = d.where("doc_id BETWEEN 1 AND 900").select(n.alias("page_num")).unionByName(spark.createDataFrame([(99999,)], "page_num int"))
+    missing = spark.createDataFrame([(99999,)], "page_num int") if some else d.agg((F.max("doc_id") + 1).cast("int").alias("page_num"))
+    wanted = (d.where(some) if some else d).select(n.alias("page_num")).unionByName(missing)
     return context.page_texts(wanted, pages, spark.createDataFrame([], "page_num int, source string"))
 
 
