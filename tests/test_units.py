@@ -294,3 +294,10 @@ def test_whole_graph_queries_equal_brute_force(spark):
         assert r["size"] == sum(c == r["community"] for c in found.values()) and r["rank"] == r["community"] + 1
     assert all(r["community"] == found[r["entity"]] for r in rows("j20_node_communities"))
     assert {r["entity"] for r in rows("g11_page_layout")} == nodes
+
+
+def test_sequential_hands_on_renames_at_every_size(spark):
+    rows = ["Helen", "Paris", *(f"Name{i}" for i in range(2050)), "Helen Sparta", "Helen", "Paris", "Name7", "Name7 Troy", "name7"]
+    df = spark.createDataFrame([(m, i) for i, m in enumerate(rows)], "mention string, seq long")
+    got = [r["canonical"] for r in resolve.resolve_sequential(df, "light").orderBy("seq").collect()]
+    assert got[0] == "Helen" and got[-6:] == ["Helen Sparta", "Helen Sparta", "Paris", "Name7", "Name7 Troy", "Name7 Troy"]

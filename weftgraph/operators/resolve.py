@@ -84,6 +84,7 @@ class Resolver:
         self.canonical: dict[str, str] = {}
         self.aliases: dict[str, str] = {}
         self.frequency: dict[str, int] = {}
+        self.changed: set[str] = set()  # forms whose name the last mention set
         for e in known or []:
             if self.norm(e) not in self.canonical:
                 self.canonical[self.norm(e)] = e
@@ -106,9 +107,11 @@ class Resolver:
 
     def add_alias(self, alias: str, canonical: str) -> None:
         self.aliases[self.norm(alias)] = canonical
+        self.changed.add(self.norm(alias))
 
     def register(self, canonical: str, aliases: list[str] | None = None) -> None:
         self.canonical[self.norm(canonical)] = canonical
+        self.changed.add(self.norm(canonical))
         self.frequency.setdefault(canonical, 0)
         for a in aliases or []:
             self.add_alias(a, canonical)
@@ -127,8 +130,9 @@ class Resolver:
 
     def _rename(self, old: str, new: str) -> None:
         """From now on the longer form names the entity; earlier results keep the shorter."""
-        self.canonical = {n: new if c == old else c for n, c in self.canonical.items()}
-        self.canonical[self.norm(new)] = new
+        renamed = [n for n, c in self.canonical.items() if c == old] + [self.norm(new)]
+        self.canonical.update(dict.fromkeys(renamed, new))
+        self.changed.update(renamed, [self.norm(old)])
         self.frequency[new] = self.frequency.get(new, 0) + self.frequency.pop(old, 0)
         self.aliases[self.norm(old)] = new
 
@@ -150,6 +154,7 @@ class Resolver:
         return bool(a and b) and (a == b or SequenceMatcher(None, a, b).ratio() >= self.threshold)
 
     def resolve(self, mention: str, register: bool = True) -> str:
+        self.changed = set()
         if not mention:
             return mention
         n = self.norm(mention)
@@ -212,9 +217,9 @@ def resolve_sequential(mentions: DataFrame, mode: str = "light", threshold: floa
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         r, rows, last = Resolver(mode, threshold), [], {}
-        for norm, mention, seq in pdf.sort_values("seq")[["norm", "mention", "seq"]].itertuples(index=False):
+        for mention, seq in pdf.sort_values("seq")[["mention", "seq"]].itertuples(index=False):
             r.resolve(mention)
-            for n in {*r.canonical, *r.aliases} if len(r.canonical) < 2000 else {norm}:
+            for n in r.changed:
                 c = r.canonical.get(n) or r.aliases.get(n)
                 if last.get(n) != c:
                     rows.append((n, c, seq))
