@@ -361,6 +361,18 @@ def test_op9_equals_brute_force(spark, edge, empty):
     assert ngram_join.similar(spark, empty).count() == 0
 
 
+def test_op9_counts_with_an_empty_block(spark):
+    rng, texts = random.Random(16), []
+    for _ in range(15):  # groups of three near copies, in two blocks: often all three are in one
+        w = [f"u{rng.randint(0, 9999)}" for _ in range(120)]
+        texts += [" ".join(w), " ".join([*w[:-1], "x"]), " ".join(["y", *w[1:]])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    old, ngram_join.BLOCK_SHINGLES = ngram_join.BLOCK_SHINGLES, 200
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.similar(spark, df).collect()}
+    ngram_join.BLOCK_SHINGLES = old
+    assert [got[i] for i in range(len(texts))] == brute_links(texts)
+
+
 def test_op9_bands_reach_the_recall():
     n, rows = ngram_join.bands()
     assert 1 - (1 - ngram_join.THRESHOLD**rows) ** n >= ngram_join.RECALL and n * rows <= ngram_join.HASHES

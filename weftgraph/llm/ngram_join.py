@@ -136,16 +136,16 @@ def _verify(words: int, threshold: float):
 
     def group(rows):
         seen, own = set(), []
-        for rep, copies, s, side, text in rows:  # repeated doc_ids: only the text with the set's key
+        inside = rows[0][4]  # a part of one block; a part of two may hold only one of them
+        for rep, copies, s, side, _, text in rows:  # repeated doc_ids: only the text with the set's key
             if rep not in seen and xxhash.xxh3_128_digest((x := shingles(text, words)).tobytes()) == s:
                 seen.add(rep)
                 own.append((side, rep, copies, x))
         own.sort(key=lambda r: (r[0], r[1]))
-        cross = own and own[0][0] != own[-1][0]
         n = len(own)
         links, copies, root = np.zeros(n), np.array([r[2] for r in own], float), np.arange(n)
-        if n > 1:
-            pairs = linked([r[3] for r in own], threshold, sum(r[0] == own[0][0] for r in own) if cross else None)
+        if n > 1 and (inside or own[0][0] != own[-1][0]):
+            pairs = linked([r[3] for r in own], threshold, None if inside else sum(r[0] == own[0][0] for r in own))
             for i, j in pairs:
                 links += np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
             before = None
@@ -162,7 +162,7 @@ def _verify(words: int, threshold: float):
     def run(batches):
         held, rows = None, []
         for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in ("part", "rep", "copies", "s", "side", "text")]
+            columns = [batch.column(n).to_pylist() for n in ("part", "rep", "copies", "s", "side", "inside", "text")]
             for part, *row in zip(*columns):
                 if part != held:
                     if rows:
@@ -207,10 +207,10 @@ def similar(spark: SparkSession, docs: DataFrame, words: int = WORDS, threshold:
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
     placed = placed.select("s", "doc_id", "copies", "rep", "component", "block", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     part = F.struct("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    placed = placed.select("s", F.col("doc_id").alias("d"), "copies", "rep", F.xxhash64(part).alias("part"), F.col("block").alias("side"))
+    placed = placed.select("s", F.col("doc_id").alias("d"), "copies", "rep", F.xxhash64(part).alias("part"), F.col("block").alias("side"), (F.col("block") == F.col("other")).alias("inside"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # shuffled at every size: the candidates grow with the corpus, and small ones must not change the plan
-    met = texts.join(placed.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d"))).select("part", "rep", "copies", "s", "side", "text")
+    met = texts.join(placed.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d"))).select("part", "rep", "copies", "s", "side", "inside", "text")
     found = met.repartition("part").sortWithinPartitions("part").mapInArrow(_verify(words, threshold), "rep long, root long, links long")
     found = workspace.written(spark, found, "found")
     if several:
