@@ -363,7 +363,7 @@ def test_op9_equals_brute_force(spark, edge, empty):
 
 def test_op9_counts_with_an_empty_block(spark):
     rng, texts = random.Random(16), []
-    for _ in range(15):  # groups of three near copies, in two blocks: often all three are in one
+    for _ in range(60):  # groups of three near copies, in two blocks: often all three are in one
         w = [f"u{rng.randint(0, 9999)}" for _ in range(120)]
         texts += [" ".join(w), " ".join([*w[:-1], "x"]), " ".join(["y", *w[1:]])]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
