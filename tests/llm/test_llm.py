@@ -55,6 +55,8 @@ def random_texts(n, seed):
 def test_encoder_equals_library(path):
     enc = Encoder(tokenizer_file(path))
     texts = random_texts(3000, 1) + ["plain words, and more.\nNext line", "a" * 300, "end\n", "\nstart", "a\n\nb", " lead", "trail "]
+    rng = random.Random(2)
+    texts += ["".join(rng.choice(list("abcdeéßÀñıǅİſK 's.,-'09") + ["\n", " ", " ", "²", "ª", "º", "À"]) for _ in range(rng.randint(0, 30))) for _ in range(6000)]
     ids = [list(struct.unpack(f"<{len(b) // 4}I", b)) for b in enc.encode(texts)]
     assert ids == [e.ids for e in enc.library.encode_batch(texts, add_special_tokens=False)]
     assert enc.counts(texts) == list(map(len, ids))
@@ -116,6 +118,14 @@ def test_op3_round_trip(spark, edge, empty):
     assert id_files.token_id_files(spark, empty, BYTE).count() == 0
 
 
+def test_op3_look_up_by_manifest(spark, tmp_path):
+    rows = [(None, "none"), (5, "five a"), (5, "five b"), *((i, f"text {i}") for i in range(6, 400))]
+    id_files.token_id_files(spark, spark.createDataFrame(rows, "doc_id long, text string"), BYTE, path=str(tmp_path / "x"))
+    lib = Encoder(tokenizer_file(BYTE)).library
+    got = Counter((r["doc_id"], tuple(r["ids"])) for r in id_files.look_up(spark, str(tmp_path / "x/manifest"), [None, 5, 17, 399, 1000]).collect())
+    assert got == Counter((d, (*lib.encode(t, add_special_tokens=False).ids, 0)) for d, t in rows if d in (None, 5, 17, 399))
+
+
 def test_op3_keyed_access():
     rng = random.Random(3)
     keys = sorted({rng.randint(-(10**12), 10**12) for _ in range(3000)})

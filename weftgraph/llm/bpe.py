@@ -1,44 +1,37 @@
-"""Token ids exactly as the ``tokenizers`` library gives them, several times faster on natural text.
+"""Token ids exactly as the ``tokenizers`` library gives them, with far less text sent through it.
 
 Two vocabularies are known by the shape of their file: byte-level BPE with a leading space (``byte``) and BPE with
-word ends over lower-cased text (``word``). A text is cut at single spaces, where neither kind can have a token, each
-piece is looked up in a bounded cache, and only a piece seen for the first time is merged, by the file's own merge
-ranks; pieces new in a batch are merged together in numpy. A text with characters outside ``SAFE``, with a special token's string, or with a run of blanks goes whole to the
-library, so that results never differ from it.
+word ends over lower-cased text (``word``). A text is cut at single spaces, where neither kind can have a token. A
+bounded cache keeps the ids of pieces. A new piece that is a word, or a word and a mark, is one pre-token, or two, which
+go to the library's merging model; other new pieces go to the library joined in one text, whose ids are told apart by
+their lengths in bytes. A text with characters outside ``SAFE``, with a special token's string, or with a space beside
+another blank goes to the library whole. Pieces are split, looked up and put together as arrays, not one by one.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
-import struct
 from functools import lru_cache
 
 import numpy as np
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries that a worker keeps for pieces and for pre-tokens; a full cache starts anew with the next batch.
-PIECES, PRE_TOKENS = 400_000, 400_000
-#: Pre-tokens merged at a time.
-TOGETHER = 4096
-#: Longer pre-tokens are left to the library, whose merging is not quadratic.
-LONGEST = 80
-_NONE = 1 << 60
-#: Value of a piece that only the library can settle: neither bytes nor a number.
-_ODD = ()
-_MARKS = (",", ".")
-#: A text with one of these has blanks that touch, or blanks other than spaces and line feeds.
-_TOUCHING = ("\n\n", " \n", "\n ", "\t", "\r", "\v", "\f")
-
-# The pre-token patterns of the two vocabularies.
-BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
-#: A text with other characters takes the library's way.
-SAFE = re.compile(r"[\t-\r -~\xa1-\xac\xae-ɏ]*")
+#: Pieces that a worker keeps; a full cache starts anew. Pieces that the library gets as one text.
+PIECES, JOINED = 600_000, 256
+#: Bytes of texts that are encoded together, so that few distinct pieces are looked up twice.
+TOGETHER = 4 << 20
+#: Characters that both kinds treat alike on their own and beside others; a text with others is not cut.
+SAFE = r"\t-\r -~\x{a1}-\x{ac}\x{ae}-\x{12f}\x{131}-\x{24f}"
+_ODD = {"word": rf"[^{SAFE}]|<\|", "byte": rf"[^{SAFE}]|<\||^ | $| [\t-\r ]|[\t-\r] "}
+#: Line feeds that may be cut at are alone, inside a text.
+_LINES = r"\n[\t-\r]|[\t-\r]\n|^\n|\n$"
+#: Marks of a text's first piece and of a piece behind a line feed; none of them is safe, so no text has them.
+_FIRST, _LINE = "\1", "\2"
+_WORD = rf"^{_LINE}?\p{{L}}+[,.]?$"
 
 
 def _byte_symbols() -> dict[int, int]:
@@ -48,194 +41,224 @@ def _byte_symbols() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
 
 
+def _scalar(text: str) -> pa.Scalar:
+    return pa.scalar(text, pa.large_string())
+
+
+class _Table:
+    """Known pieces, their token counts and, if kept, where their ids are in one growing array."""
+
+    def __init__(self, with_ids: bool, pieces: list[str] = (), sizes: list[int] = ()):
+        self.pieces, self.sizes = pa.array(pieces, pa.large_string()), np.array(sizes, np.int64)
+        self.starts = np.zeros(len(self.sizes), np.int64) if with_ids else None
+        self.ids = np.zeros(0, np.uint32)
+
+    def add(self, pieces: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
+        if self.starts is not None:
+            self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
+            self.ids = np.append(self.ids, ids)
+        self.pieces, self.sizes = pa.concat_arrays([self.pieces, pieces]), np.append(self.sizes, sizes)
+
+    def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the ends, from 0 on, ids) of pieces by number, one after the other."""
+        sizes = self.sizes[which]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return ends, self.ids[np.repeat(self.starts[which] - ends[:-1], sizes) + np.arange(ends[-1])]
+
+
 class Encoder:
     """Ids of one vocabulary file, given as its JSON text."""
 
     def __init__(self, text: str):
         from tokenizers import Tokenizer
 
-        spec = json.loads(text)
         self.library = Tokenizer.from_str(text)
         self.library.no_truncation()
         self.library.no_padding()
-        model = spec["model"]
-        self.end = model.get("end_of_word_suffix") or ""
-        self.kind = "word" if self.end else "byte"
-        vocab, symbols = model["vocab"], _byte_symbols()
-        self.alphabet = {b: chr(c) for b, c in symbols.items()}
-        self.single = np.array([vocab[self.alphabet[b]] for b in range(256)], np.int64)
-        self.final = np.array([vocab[self.alphabet[b] + self.end] for b in range(256)], np.int64)
-        pairs = np.empty((len(model["merges"]), 2), np.int64)
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            pairs[rank] = vocab[a] << 20 | vocab[b], rank << 20 | vocab[a + b]
-        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-        self.pairs, self.merged = np.append(pairs[:, 0], _NONE), np.append(pairs[:, 1], _NONE)
-        self.pattern = regex.compile(WORD_PATTERN if self.kind == "word" else BYTE_PATTERN)
-        self.pre: dict[str, bytes] = {}
-        self.pieces: dict[bool, dict[str, object]] = {False: {}, True: {}}
+        model = json.loads(text)["model"]
+        end = model.get("end_of_word_suffix") or ""
+        self.kind = "word" if end else "byte"
+        self.bytes = np.zeros(max(model["vocab"].values()) + 1, np.int64)  # one symbol of a token is one byte
+        for token, i in model["vocab"].items():
+            self.bytes[i] = len(token) - (len(end) if end and token.endswith(end) else 0)
+        self.symbols = {b: chr(c) for b, c in _byte_symbols().items()}
+        self.marks = {m: self._merged(self.symbols[ord(m)])[0] for m in "\n,."}
         self.seed: dict[str, int] = {}
+        self.words = _Table(True)
+        self.tables = {counts: _Table(not counts) for counts in (True, False)}
 
-    # -- merging
-
-    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Rank of a pair in the high bits and the merged id in the low ones; ``_NONE`` for no merge."""
-        key = np.where((left < 0) | (right < 0), -1, left << 20 | right)
-        i = np.searchsorted(self.pairs, key)
-        return np.where(self.pairs[i] == key, self.merged[i], _NONE)
-
-    def _merge(self, words: list[bytes]) -> list[bytes]:
-        """Ids of pre-tokens: in every round each word's pair of lowest rank, leftmost first, becomes one id."""
-        sizes = np.array([len(w) for w in words])
-        out: list[bytes] = [b""] * len(words)
-        order = np.argsort(sizes, kind="stable")
-        for at in range(0, len(order), TOGETHER):
-            which = order[at : at + TOGETHER]
-            n, width = sizes[which], int(sizes[which[-1]])
-            raw = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in which), np.uint8).reshape(len(which), width)
-            ids = np.where(np.arange(width) == n[:, None] - 1, self.final[raw], self.single[raw])
-            ids = np.append(np.where(np.arange(width) < n[:, None], ids, -1), np.full((len(which), 1), -1), axis=1)
-            ranks = self._ranks(ids[:, :-1], ids[:, 1:])
-            while len(which):
-                i = ranks.argmin(axis=1)
-                best = ranks[np.arange(len(i)), i]
-                done = best == _NONE
-                if done.any():
-                    ready = ids[done]
-                    raw, step = ready.astype("<u4").tobytes(), 4 * ready.shape[1]
-                    for k, j, length in zip(range(0, len(raw), step), which[done].tolist(), ((ready >= 0).sum(axis=1) * 4).tolist()):
-                        out[j] = raw[k : k + length]
-                    go = ~done
-                    which, ids, ranks, i, best = which[go], ids[go], ranks[go], i[go], best[go]
-                    if not len(which):
-                        break
-                rows, columns = np.arange(len(i)), np.arange(ids.shape[1] - 1)
-                after = columns > i[:, None]
-                ids[:, :-1] = np.where(after, ids[:, 1:], ids[:, :-1])
-                ids[:, -1] = -1
-                ranks[:, :-1] = np.where(after[:, :-1], ranks[:, 1:], ranks[:, :-1])
-                ranks[:, -1] = _NONE
-                ids[rows, i] = best & 0xFFFFF
-                ranks[rows, i] = self._ranks(ids[rows, i], ids[rows, i + 1])
-                before = i > 0
-                ranks[rows[before], i[before] - 1] = self._ranks(ids[rows[before], i[before] - 1], ids[rows[before], i[before]])
-        return out
+    # -- pieces
 
-    def _fill(self, pre_tokens: set[str]) -> None:
-        """Merge the pre-tokens that the cache lacks."""
-        new = list(pre_tokens.difference(self.pre))
-        raw = [p.encode() for p in new]
-        if raw and max(map(len, raw)) > LONGEST:
-            for p, b in zip(new, raw):
-                if len(b) > LONGEST:  # the library's merging is not quadratic
-                    ids = [t.id for t in self.library.model.tokenize("".join(map(self.alphabet.__getitem__, b)))]
-                    self.pre[p] = struct.pack(f"<{len(ids)}I", *ids)
-            new, raw = [p for p in new if p not in self.pre], [b for b in raw if len(b) <= LONGEST]
-        if raw:
-            self.pre.update(zip(new, self._merge(raw)))
-
-    # -- cutting
-
-    def _cut(self, piece: str, lead: str = " ", tail: bool = False) -> list[str] | None:
-        """Pre-tokens of a piece between blanks; None if another blank touches them, which neither side alone can settle."""
-        if self.kind == "word":
-            return self.pattern.findall(piece.lower())
-        if piece[:1] == "\0":
-            return self.pattern.findall(piece[1:])
-        if not piece or (lead and piece[0].isspace()) or (not tail and piece[-1].isspace()):
-            return None
-        return self.pattern.findall(lead + piece)
+    def _merged(self, symbols: str) -> list[int]:
+        return [t.id for t in self.library.model.tokenize(symbols)]
 
-    def odd(self, text: str) -> bool:
-        """Whether the library has to take the whole text."""
-        return "<|" in text or SAFE.fullmatch(text) is None
+    def _words(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(token counts, ids) of pieces that are letters alone, or with a line feed before or a mark behind them."""
+        line, mark = (pc.match_substring_regex(pieces, p).to_numpy(zero_copy_only=False) for p in (rf"^{_LINE}", "[,.]$"))
+        stems = pc.utf8_trim(pieces, _LINE + ",.")
+        if self.kind == "word":
+            stems = pc.utf8_lower(stems)
+        else:
+            stems = pc.binary_join_element_wise(pc.if_else(pa.array(line), _scalar(""), _scalar(self.symbols[32])), stems, _scalar(""))
+        coded = stems.dictionary_encode()
+        if len(self.words.pieces) + len(coded.dictionary) > PIECES:
+            self.words = _Table(True)
+        places = pc.index_in(coded.dictionary, value_set=self.words.pieces)
+        missing = pc.is_null(places).to_numpy(zero_copy_only=False)
+        new = coded.dictionary.filter(pa.array(missing))
+        lead, symbols = self.symbols[32], self.symbols
+        found = []
+        for w in new.to_numpy(zero_copy_only=False).tolist():
+            body = w[1:] if w[0] == lead else w
+            found.append(self._merged(w if body.isascii() else w[: len(w) - len(body)] + "".join(map(symbols.__getitem__, body.encode()))))
+        known = len(self.words.pieces)
+        self.words.add(new, np.fromiter(map(len, found), np.int64, len(found)), np.array([i for own in found for i in own], np.uint32))
+        numbers = places.fill_null(0).to_numpy().astype(np.int64)
+        numbers[missing] = known + np.arange(len(new))
+        which = numbers[coded.indices.to_numpy()]
+        ends, inner = self.words.gather(which)
+        sizes = np.diff(ends) + line + mark
+        stop = np.cumsum(sizes)
+        ids = np.zeros(int(stop[-1]), np.uint32)
+        own = np.ones(len(ids), bool)
+        ids[(stop - sizes)[line]] = self.marks["\n"]
+        ids[stop[mark] - 1] = np.where(pc.ends_with(pieces, ",").to_numpy(zero_copy_only=False)[mark], self.marks[","], self.marks["."])
+        own[(stop - sizes)[line]] = own[stop[mark] - 1] = False
+        ids[own] = inner
+        return sizes, ids
+
+    def _apart(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(token counts, ids) of texts that the library gets one by one."""
+        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(map(len, found), np.int64, len(found)), np.array([i for own in found for i in own], np.uint32)
+
+    def _joined(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(token counts, ids) of pieces with no blank at an end, many of them in each text that the library gets."""
+        line = pc.starts_with(pieces, _LINE)
+        own = pc.binary_join_element_wise(pc.if_else(line, _scalar("\n"), _scalar(" ")), pc.replace_substring(pieces, _LINE, ""), _scalar(""))
+        bounds = np.append(np.arange(0, len(own), JOINED), len(own))
+        texts = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), own), _scalar("")).to_pylist()
+        lengths = pc.binary_length(own if self.kind == "byte" else pc.utf8_lower(pieces)).to_numpy()
+        sizes, ids = np.zeros(len(own), np.int64), []
+        for a, b, text, e in zip(bounds, bounds[1:], texts, self.library.encode_batch_fast(texts, add_special_tokens=False)):
+            found = np.array(e.ids, np.uint32)
+            ends = np.concatenate([[0], np.cumsum(self.bytes[found])])
+            places = np.searchsorted(ends, np.concatenate([[0], np.cumsum(lengths[a:b])]))
+            if places[-1] == len(found) and (ends[places[1:]] == np.cumsum(lengths[a:b])).all():
+                sizes[a:b] = np.diff(places)
+            else:  # a token's length is not that of its text: one by one
+                sizes[a:b], found = self._apart(own[a:b].to_pylist())
+            ids.append(found)
+        return sizes, np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+
+    def _learn(self, table: _Table, pieces: pa.Array) -> np.ndarray:
+        """Add pieces to a table that lacks them; their numbers in it."""
+        word = pc.match_substring_regex(pieces, _WORD).to_numpy(zero_copy_only=False)
+        alone = pc.match_substring_regex(pieces, rf"^{_FIRST}|^[\t-\r ]|[\t-\r ]$").to_numpy(zero_copy_only=False) & (self.kind == "byte")
+        numbers = np.zeros(len(pieces), np.int64)
+        for which, get in ((word, self._words), (~word & ~alone, self._joined), (alone, self._lone)):
+            if which.any():
+                own = pieces.filter(pa.array(which))
+                numbers[which] = len(table.pieces) + np.arange(len(own))
+                table.add(own, *get(own))
+        return numbers
+
+    def _lone(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(token counts, ids) of a text's first pieces and of those that end in a blank."""
+        return self._apart([p[1:] if p[0] == _FIRST else "\n" + p[1:] if p[0] == _LINE else " " + p for p in pieces.to_pylist()])
 
-    def whole(self, text: str) -> bytes:
-        ids = self.library.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def seed_lengths(self, lengths: dict[str, int]) -> None:
+        """Lengths of frequent pieces, which ``counts`` then looks up without encoding them."""
+        if self.seed != lengths:
+            self.seed = lengths
+            self.tables[True] = _Table(False, list(lengths), list(lengths.values()))
 
-    # -- texts
+    def odd(self, texts: pa.Array) -> np.ndarray:
+        """Whether the library has to take a text whole."""
+        return pc.match_substring_regex(texts, _ODD[self.kind]).to_numpy(zero_copy_only=False)
 
     def lengths(self, pieces: list[str]) -> list[int | None]:
         """Tokens of each piece between single blanks; None where only the whole text can tell."""
-        own = [None if self.odd(p) else self._cut(p) for p in pieces]
-        self._fill({p for x in own for p in x or ()})
-        return [None if x is None else sum(len(self.pre[p]) for p in x) // 4 for x in own]
+        own = pa.array(pieces, pa.large_string())
+        odd = self.odd(own) | pc.match_substring_regex(own, r"^[\t-\r ]|[\t-\r ]$|^$").to_numpy(zero_copy_only=False)
+        sizes = np.full(len(own), -1)
+        sizes[~odd] = self._joined(own.filter(pa.array(~odd)))[0]
+        return [None if n < 0 else n for n in sizes.tolist()]
 
-    def seed_lengths(self, lengths: dict[str, int]) -> None:
-        """Lengths of frequent pieces, which ``counts`` then looks up without encoding them."""
-        self.seed = lengths
-        self.pieces[True].update(lengths)
-
-    def _batch(self, texts: list[str | None], counts: bool) -> list:
-        cache = self.pieces[counts]
-        if len(cache) > PIECES:
-            cache.clear()
-            cache.update(self.seed if counts else {})
-        if len(self.pre) > PRE_TOKENS:
-            self.pre.clear()
-        zero = 0 if counts else b""
-        get = self.pre.__getitem__
-        value = (lambda own: sum(map(len, map(get, own))) >> 2) if counts else (lambda own: b"".join(map(get, own)))
-        total = sum if counts else b"".join
-        plain: list[tuple[int, list[str], list[str] | None, list[str] | None]] = []
-        out: list = [zero] * len(texts)
-        odd: list[int] = []
-        wanted: set[str] = set()
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if self.odd(text):
-                odd.append(i)
-                continue
-            if self.kind == "word":
-                inner, first, last = text.split(), [], []
+    # -- texts
+
+    def _split(self, texts: pa.Array) -> pa.Array:
+        """Lists of the pieces of texts that are not odd."""
+        if self.kind == "word":
+            return pc.ascii_split_whitespace(texts)
+        apart = pc.invert(pc.match_substring_regex(texts, _LINES))
+        texts = pc.if_else(apart, pc.replace_substring(texts, "\n", " " + _LINE), texts)
+        return pc.split_pattern(pc.binary_join_element_wise(_scalar(_FIRST), texts, _scalar("")), " ")
+
+    def _together(self, texts: pa.Array, counts: bool) -> list:
+        out: list = [0 if counts else b""] * len(texts)
+        odd = self.odd(texts)
+        plain = np.flatnonzero(~odd & (pc.binary_length(texts).to_numpy() > 0))
+        if len(plain):
+            split = self._split(texts.take(pa.array(plain)))
+            coded = split.flatten().dictionary_encode()
+            table, pieces = self.tables[counts], coded.dictionary
+            places = pc.index_in(pieces, value_set=table.pieces)
+            if places.null_count:
+                if len(table.pieces) + places.null_count > PIECES:
+                    seed = self.seed if counts else {}
+                    table = self.tables[counts] = _Table(not counts, list(seed), list(seed.values()))
+                    places = pc.index_in(pieces, value_set=table.pieces)
+                missing = pc.is_null(places).to_numpy(zero_copy_only=False)
+                numbers = places.fill_null(0).to_numpy().astype(np.int64)
+                numbers[missing] = self._learn(table, pieces.filter(pa.array(missing)))
             else:
-                # a line's first word is a piece with the line feed before it, in place of a blank
-                if "\n" in text and not any(b in text for b in _TOUCHING) and text[-1] != "\n" and text[0] != "\n":
-                    text = text.replace("\n", " \0\n")
-                first_piece, *inner = text.split(" ")
-                last = self._cut(inner.pop(), tail=True) if inner else []
-                first = self._cut(first_piece, "", tail=last == [])
-                if first is None or last is None:
-                    odd.append(i)
-                    continue
-                wanted.update(first, last)
-            plain.append((i, inner, first, last))
-        cuts: dict[str, tuple | list | None] = {}
-        lower, lead = self.kind == "word", "" if self.kind == "word" else " "
-        for p in set().union(*(x[1] for x in plain)).difference(cache):
-            w = p.lower() if lower else p
-            if w.isalpha():
-                cuts[p] = (lead + w,)
-            elif w[:2] == "\0\n" and w[2:].isalpha():
-                cuts[p] = ("\n", w[2:])
-            elif w[-1:] in _MARKS and w[:-1].isalpha():
-                cuts[p] = (lead + w[:-1], w[-1])
+                numbers = places.to_numpy().astype(np.int64)
+            which = numbers[coded.indices.to_numpy()]
+            cut = split.offsets.to_numpy() - split.offsets[0].as_py()
+            if counts:
+                cuts = np.concatenate([[0], np.cumsum(table.sizes[which])])[cut]
+                for i, n in zip(plain.tolist(), np.diff(cuts).tolist()):
+                    out[i] = n
             else:
-                cuts[p] = self._cut(p)
-        self._fill(wanted.union(*(own for own in cuts.values() if own)))
-        for p, own in cuts.items():
-            cache[p] = _ODD if own is None else get(own[0]) if len(own) == 1 and not counts else value(own)
-        for i, inner, first, last in plain:
-            try:
-                out[i] = total((value(first), *map(cache.__getitem__, inner), value(last)))
-            except TypeError:
-                odd.append(i)
-        for i in odd:
-            ids = self.whole(texts[i])
-            out[i] = len(ids) // 4 if counts else ids
+                ends, ids = table.gather(which)
+                raw, cuts = ids.astype("<u4").tobytes(), ends[cut] * 4
+                for i, a, b in zip(plain.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+                    out[i] = raw[a:b]
+        for i in np.flatnonzero(odd).tolist():
+            ids = self.library.encode(texts[i].as_py(), add_special_tokens=False).ids
+            out[i] = len(ids) if counts else np.array(ids, "<u4").tobytes()
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def _batch(self, texts: pa.Array | list[str | None], counts: bool) -> list:
+        """By slices of about ``TOGETHER`` bytes: texts are whole, and a longer one is a slice of its own."""
+        texts = (pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())).fill_null("")
+        group = np.cumsum(pc.binary_length(texts).to_numpy()) // TOGETHER
+        bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+        return [x for a, b in zip(bounds, bounds[1:]) for x in self._together(texts[a:b], counts)]
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of texts, without added special tokens; null counts as empty."""
         return self._batch(texts, False)
 
-    def counts(self, texts: list[str | None]) -> list[int]:
+    def counts(self, texts: pa.Array | list[str | None]) -> list[int]:
         """Numbers of tokens of texts."""
         return self._batch(texts, True)
 
 
+def gathered(batches, column: str = "text", size: int = TOGETHER):
+    """Arrow batches joined until their texts reach ``size`` bytes."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.column(column).nbytes
+        if n >= size:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 @lru_cache(maxsize=2)
 def encoder(text: str) -> Encoder:
     """One encoder a worker and file; its caches live as long as the worker."""

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import workspace
-from .bpe import encoder, tokenizer_file
+from .bpe import encoder, gathered, tokenizer_file
 
 CAPACITY = 2048
 
@@ -165,9 +165,9 @@ def pieces(spark: SparkSession, docs: DataFrame, tokenizer_path: str, capacity:
         from pyspark import TaskContext
 
         enc, task, ranks = encoder(shared.value), TaskContext.get().partitionId(), Counter()
-        for batch in batches:
+        for batch in gathered(batches):
             rows = []
-            for d, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist())):
+            for d, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text"))):
                 ids += stop
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]

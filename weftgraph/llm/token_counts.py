@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections import Counter
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import workspace
-from .bpe import encoder, tokenizer_file
+from .bpe import encoder, gathered, tokenizer_file
 
 #: Entries of the broadcast table, entries that a summary keeps, distinct entries before a task prunes its summary.
 HOT, KEPT, PRUNE_AT = 16_384, 4_096, 200_000
@@ -86,11 +87,11 @@ def token_counts(spark: SparkSession, docs: DataFrame, tokenizer_path: str, over
         text_of, packed, sizes = shared.value
         enc = encoder(text_of)
         enc.seed_lengths(dict(zip(packed.split("\n"), sizes)) if sizes else {})
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            n = enc.counts(texts)
+        for batch in gathered(batches):
+            n = enc.counts(batch.column("text"))
+            size = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > over for x in n], pa.bool_())],
+                [batch.column("doc_id"), size, pa.array(n, pa.int64()), pa.array([x > over for x in n], pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
