@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from weftgraph.llm import exact_dedup, hamming_search, id_files, language_id, mixing, ngram_join, packing, secret_scan, substring_dedup, token_counts  # noqa: E402
+from weftgraph.llm import bloom, exact_dedup, hamming_search, id_files, language_id, mixing, ngram_join, packing, secret_scan, substring_dedup, token_counts  # noqa: E402
 from weftgraph.llm.bpe import Encoder, tokenizer_file  # noqa: E402
 from weftgraph.llm.components import components  # noqa: E402
 
@@ -406,7 +406,7 @@ def test_components(spark):
 
 
 def test_op10_equals_brute_force(spark, edge, empty):
-    for bits in (exact_dedup.MOST_BITS, 1 << 6):  # a full filter passes everything and changes nothing
+    for bits in (bloom.MOST_BITS, 1 << 6):  # a full filter passes everything and changes nothing
         got = exact_dedup.duplicates(spark, edge, bits).collect()
         norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
         groups = {}

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import workspace
-from .hot import join_counted
-
-#: Bits a row, hash functions, and the filter's proven bound in bits (8 MB), whatever the number of rows.
-BITS_A_ROW, HASHES, MOST_BITS = 16, 2, 1 << 26
+from . import bloom, workspace
+from .hot import SHARE, join_counted
 
 
 def normalised(text: Column | str) -> Column:
@@ -19,94 +14,63 @@ def normalised(text: Column | str) -> Column:
     return F.regexp_replace(F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _positions(h: Column, bits: int) -> list[Column]:
-    """Positions of a 64-bit hash: double hashing on its two halves."""
-    low, high = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1))
-    return [F.pmod(low + F.lit(i) * high, F.lit(bits)).cast("long") for i in range(HASHES)]
-
-
-def repeated_filter(spark: SparkSession, hashes: DataFrame, bits: int) -> np.ndarray:
-    """First pass: the Bloom filter's positions that two rows or more have set, as a bitmap of ``bits`` bits.
-
-    ``hashes`` has one column h. Counts are summed map-side; what reaches the driver are 64-bit words with a repeated
-    position: at most ``bits / 64`` rows.
-    """
-    counted = hashes.select(F.explode(F.array(*_positions(F.col("h"), bits))).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    words = counted.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v")).toPandas()
-    bitmap = np.zeros(bits // 64, np.uint64)
-    bitmap[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64).view(np.uint64)
-    return bitmap
-
-
-def _maybe(spark: SparkSession, bitmap: np.ndarray, bits: int):
-    shared = spark.sparkContext.broadcast(bitmap)
+def _keys(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(doc_id, s, h, row) of every row, written: SHA-256 and 64-bit hash of the normalised text."""
+    own = docs.select(F.col("doc_id").alias("doc_id"), normalised("text").alias("text"))
+    return workspace.written(spark, own.select("doc_id", F.unhex(F.sha2("text", 256)).alias("s"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row")), "keys")
 
-    @F.pandas_udf("boolean")
-    def maybe_repeated(h: pd.Series) -> pd.Series:
-        x = h.to_numpy(np.int64)
-        low, high = x & 0xFFFFFFFF, (x.view(np.uint64) >> np.uint64(32)).astype(np.int64) | 1
-        hit = np.ones(len(x), bool)
-        for i in range(HASHES):
-            p = (low + i * high) % bits
-            hit &= (shared.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
-        return pd.Series(hit)
 
-    return maybe_repeated
-
-
-def _bits(rows: int, most_bits: int) -> int:
-    return min(most_bits, 1 << max(10, (rows * BITS_A_ROW - 1).bit_length()))
+def _filter(spark: SparkSession, keys: DataFrame, most_bits: int):
+    """(rows, function that tells of a hash whether it may be repeated): the first pass."""
+    total = keys.count()
+    return total, bloom.passes(spark, bloom.bitmap(keys, bloom.bits_for(total, most_bits), repeated=True))
 
 
-def duplicates(spark: SparkSession, docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+def duplicates(spark: SparkSession, docs: DataFrame, most_bits: int = bloom.MOST_BITS) -> DataFrame:
     """``docs`` (doc_id, text, ...) -> (doc_id, keep_id, group_size, kept, text_sha256), one row per input row.
 
-    Texts are equal when identical after each run of ASCII white space is one space. Hashes that the filter says are
-    repeated are shuffled, pre-aggregated, on the SHA-256 of the text; all others are given out where they are. False
-    positives of the filter cost a shuffled row and never change a result.
+    The first pass sets the bits of all hashes in bitmaps of each task, which are joined by OR; a bit set twice tells of
+    a possible repeat. In the second pass only rows all of whose bits were set twice are shuffled, pre-aggregated, on
+    the SHA-256 of the text; all others are given out where they are. False positives cost a shuffled row and never
+    change a result.
 
     Nulls: a null text is an empty text; a null doc_id stays only if its group has no other. Empty texts are one group.
     Ties: of rows with the same doc_id and text one stays. Very long texts are hashed whole. An empty table gives an
-    empty result. Further columns are not read.
+    empty result. Further columns, whatever their names, are not read.
     """
     workspace.prepare(spark)
-    text = normalised("text")
-    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("text_sha256"), F.xxhash64(text).alias("h"))
-    keys = workspace.written(spark, keys.withColumn("row", F.monotonically_increasing_id()), "keys")
-    total = keys.count()
-    bits = _bits(total, most_bits)
-    marked = keys.withColumn("maybe", _maybe(spark, repeated_filter(spark, keys.select("h"), bits), bits)("h"))
-    alone = marked.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    some = marked.where("maybe").select("doc_id", "text_sha256", "row")
+    keys = _keys(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    total, maybe = _filter(spark, keys, most_bits)
+    marked = keys.withColumn("maybe", maybe("h"))
+    text_sha256 = F.lower(F.hex("s")).alias("text_sha256")
+    alone = marked.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), text_sha256)
+    some = marked.where("maybe").select("doc_id", "s", "row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    groups = some.groupBy("text_sha256").agg(first, F.count(F.lit(1)).alias("group_size"))
-    shared = join_counted(some, groups, "text_sha256", "group_size", total).select(
-        "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256"
+    groups = some.groupBy("s").agg(first, F.count(F.lit(1)).alias("group_size"))
+    shared = join_counted(some, groups, "s", "group_size", total).select(
+        "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), text_sha256
     )
     return alone.unionByName(shared)
 
 
-def drop_duplicates(spark: SparkSession, docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
-    """``docs`` without the rows whose text an earlier row has; all columns, whole rows.
+def drop_duplicates(spark: SparkSession, docs: DataFrame, most_bits: int = bloom.MOST_BITS) -> DataFrame:
+    """``docs``, whole rows with all their columns, but of rows with equal normalised text only the one of least doc_id.
+
+    Rows whose hash the filter calls single pass straight through. The others meet by text, one a task and text at
+    most; of a hot text only rows of its least doc_id leave their task at all.
 
-    Rows whose hash the filter calls single pass straight through. Of the others the keys of the rows to drop are
-    found first, so that a hot group's texts never meet in one task.
+    Nulls: a null text is an empty text; a row with a null doc_id stays only if no other has its text. Empty texts are
+    one text. Ties: of rows with the same doc_id and text the least by text as it stands, then by the row as JSON. Very
+    long texts are hashed whole. An empty table stays empty. Further columns may have any name and type.
     """
     workspace.prepare(spark)
-    text = normalised("text")
-    names = docs.columns
-    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("r"), F.sha2(text, 256).alias("s"), F.xxhash64(text).alias("h"))
-    keys = workspace.written(spark, docs.select(F.col("doc_id").alias("d"), F.sha2(text, 256).alias("s"), F.xxhash64(text).alias("h")), "keys")
-    total = keys.count()
-    bits = _bits(total, most_bits)
-    maybe = _maybe(spark, repeated_filter(spark, keys.select("h"), bits), bits)
-    tagged = tagged.withColumn("maybe", maybe("h"))
-    some = keys.where(maybe("h"))
-    order = F.struct(F.col("d").isNull().alias("none"), "d")
-    first = some.groupBy("s").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
-    gone = join_counted(some, first.where("n > 1"), "s", "n", total).where(~F.col("d").eqNullSafe(F.col("first.d")))
-    gone = gone.select(F.col("s").alias("gone_s"), F.col("d").alias("gone_d"))
-    rows = tagged.where("maybe").select("r", "s")
-    rows = rows.join(gone, (rows["s"] == gone["gone_s"]) & rows["r.doc_id"].eqNullSafe(gone["gone_d"]), "left_anti")
-    rows = rows.groupBy("s").agg(F.min("r").alias("r")).select("r")  # one row a text is left, or whole repeated rows
-    return tagged.where("not maybe").select("r").unionByName(rows).select("r.*")
+    keys = _keys(spark, docs)
+    total, maybe = _filter(spark, keys, most_bits)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
+    groups = keys.where(maybe("h")).groupBy("s").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
+    hot = F.broadcast(groups.where(F.col("n") * SHARE > F.lit(total)).select(F.col("s").alias("hot"), "first"))  # at most SHARE rows
+    rows = workspace.packed(docs).withColumn("t", normalised("r.text"))
+    rows = rows.select("r", F.unhex(F.sha2("t", 256)).alias("s"), F.xxhash64("t").alias("h")).withColumn("maybe", maybe("h"))
+    some = rows.where("maybe").join(hot, F.col("s") == F.col("hot"), "left").where(F.col("hot").isNull() | F.col("r.doc_id").eqNullSafe(F.col("first.doc_id")))
+    least = F.min_by("r", F.struct(F.col("r.doc_id").isNull(), F.col("r.doc_id"), F.col("r.text"), F.to_json("r")))
+    return rows.where("not maybe").select("r").unionByName(some.groupBy("s").agg(least.alias("r")).select("r")).select("r.*")

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts may be long, so batches are kept small.
 ARROW_ROWS = 256
@@ -20,6 +21,11 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Whole rows as one struct ``r``, so that no name of an operator's own can clash with a column's."""
+    return docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("r"))
+
+
 def shared_root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; where it is unset, as in tests, a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
