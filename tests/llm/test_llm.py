@@ -118,6 +118,17 @@ def test_op3_round_trip(spark, edge, empty):
     assert id_files.token_id_files(spark, empty, BYTE).count() == 0
 
 
+def test_op3_hot_and_null_keys_are_dealt(spark):
+    rows = [(7, f"hot {i}") for i in range(300)] + [(None, f"none {i}") for i in range(100)] + [(i, f"t {i}") for i in range(-50, 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ends = id_files.bounds(df, 8)
+    assert len(ends) == 7 and (ends == 7).sum() > 2
+    got = id_files.token_id_files(spark, df, BYTE).orderBy("start").collect()
+    ids = [r["doc_id"] for r in got]
+    assert ids == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+    assert [r["start"] for r in got] == [0, *itertools.accumulate(r["n_tokens"] for r in got)][:-1]
+
+
 def test_op3_look_up_by_manifest(spark, tmp_path):
     rows = [(None, "none"), (5, "five a"), (5, "five b"), *((i, f"text {i}") for i in range(6, 400))]
     id_files.token_id_files(spark, spark.createDataFrame(rows, "doc_id long, text string"), BYTE, path=str(tmp_path / "x"))

@@ -167,34 +167,53 @@ def _width(tokenizer: str) -> int:
     return 2 if Tokenizer.from_str(tokenizer).get_vocab_size() <= 1 << 16 else 4
 
 
-def encoded(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
-    """``docs`` (doc_id, text, ...) -> (doc_id, row, ids): whole texts' ids with the end id, 2 or 4 bytes each."""
+def _key(doc_id: str = "doc_id"):
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
+
+
+def bounds(docs: DataFrame, n: int) -> np.ndarray:
+    """The last key of each of ``n`` ranges of about as many rows, but for the last range; ids alone move for them.
+
+    A key with many rows bounds several ranges, over which its rows are dealt.
+    """
+    keys = docs.select(_key().alias("k"), F.monotonically_increasing_id().alias("row")).repartitionByRange(n, "k", "row")
+    last = keys.groupBy(F.spark_partition_id().alias("p")).agg(F.max("k").alias("k")).collect()  # a row a range
+    return np.sort(np.array([r["k"] for r in last], np.int64))[:-1]
+
+
+def encoded(spark: SparkSession, docs: DataFrame, tokenizer_path: str, ends: np.ndarray, end_id: int = 0) -> DataFrame:
+    """``docs`` (doc_id, text, ...) -> (doc_id, row, range, ids): whole texts' ids with the end id, 2 or 4 bytes each."""
     file = tokenizer_file(tokenizer_path)
     width = _width(file)
     if end_id >= 1 << 8 * width:
         raise ValueError("the end id does not fit")
-    shared = spark.sparkContext.broadcast(file)
+    shared = spark.sparkContext.broadcast((file, ends))  # a bound a range
 
     def encode(batches):
-        enc = encoder(shared.value)
+        file, ends = shared.value
+        enc = encoder(file)
         for batch in gathered(batches):
+            keys = batch.column("k").to_numpy()
+            low, high = np.searchsorted(ends, keys, "left"), np.searchsorted(ends, keys, "right")
+            to = low + (_mix(batch.column("row").to_numpy().view(np.uint64)) % (high - low + 1).astype(np.uint64)).astype(np.int64)
             own = [np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)).astype(f"<u{width}").tobytes() for x in enc.encode(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(own, pa.binary())], names=["doc_id", "row", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(to.astype(np.int32)), pa.array(own, pa.binary())], names=["doc_id", "row", "range", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
-    return rows.mapInArrow(encode, "doc_id long, row long, ids binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("k"), F.monotonically_increasing_id().alias("row"), "text")
+    return rows.mapInArrow(encode, "doc_id long, row long, range int, ids binary")
 
 
 def write_id_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, shard_ids: int = SHARD_IDS) -> None:
     """Encode ``docs`` (doc_id, text, ...) and write the shard files into the folder ``path`` of any Hadoop store.
 
-    Texts are encoded where they are, and their ids alone move, by ranges of doc_id and row, so that files are in
-    ascending doc_id order and rows of one doc_id need not meet in one task. A task holds one shard at a time. The
+    Texts are encoded where they are, and their ids alone move, once, by ranges of doc_id, so that files are in
+    ascending doc_id order; rows of a doc_id that fills several ranges are dealt over them. A task holds one shard at a time. The
     writer is Spark's own, whose commit protocol keeps half-written files of lost executors out.
     """
     workspace.prepare(spark)
     width = _width(tokenizer_file(tokenizer_path))
-    rows = workspace.written(spark, encoded(spark, docs, tokenizer_path, end_id), "encoded")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    rows = encoded(spark, docs, tokenizer_path, bounds(docs, n), end_id)
 
     def shards(batches):
         from pyspark import TaskContext
@@ -216,8 +235,7 @@ def write_id_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str, pa
             yield close()
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("row").asc()]
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    ordered = rows.repartitionById(n, F.col("range")).sortWithinPartitions(*order).select("doc_id", "ids")
     ordered.mapInArrow(shards, "shard binary").select(F.col("shard").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
