@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from . import workspace
 
-#: Rows of a block.
-BLOCK = 16
+#: Rows of a block, and most blocks of a schedule, but for one more a source: with more rows blocks are larger, so that
+#: the schedule that the driver finds and workers hold is at most 24 bytes a block, 24 MB.
+BLOCK, BLOCKS = 16, 1 << 20
 #: Weights by default: a source's share to this power; weight of a source that has none, or 0, among given ones.
 POWER, LEAST = 0.5, 1e-9
 SEED = 3
@@ -54,11 +55,11 @@ def _whole(weights: dict[int, float]) -> dict[int, int]:
     return {k: int(w * scale) for k, w in exact.items()}
 
 
-def phases(blocks: dict[int, int], weights: dict[int, float], period: int | None = None) -> Plan:
+def phases(blocks: dict[int, int], weights: dict[int, float]) -> Plan:
     """The schedule of all blocks: of the released ones the one with the earliest deadline comes next.
 
     A phase ends with the block that empties a lane. A lane enters a phase's queue with its first block, in the order of
-    weights, so that a phase costs its own slots. ``period`` has no effect: no weight is rounded.
+    weights, so that a phase costs its own slots. No weight is rounded.
     """
     plan, whole = Plan(weights, blocks), _whole({k: weights[k] for k in blocks if blocks[k]})
     first = {k: int(plan.first[i]) for i, k in enumerate(plan.lanes)}
@@ -108,24 +109,25 @@ def positions(plan: Plan, lane: np.ndarray, block: np.ndarray) -> tuple[np.ndarr
     return plan.slot[x], plan.release[x], plan.deadline[x]
 
 
-def mixed(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
+def mixed(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, most: int = BLOCKS) -> DataFrame:
     """``docs`` (doc_id, source, text, ...) -> (doc_id, source, lane, block, slot, release, deadline, position, h), one row per row.
 
     ``position`` is the row's place in the mix, from 0 without gaps but inside the last block of a source. Up to any
     slot of a phase, each source has had its weight's share of the blocks to less than one block. ``weights``: target
     weight of each source by name, where a missing one, or 0, counts as ``LEAST``; by default the share of rows to the
-    power ``POWER``. The driver and each worker hold 24 bytes a block. Inside a source rows come in the order of a seeded hash of doc_id, then doc_id.
+    power ``POWER``. A block has ``block`` rows, or as many as make ``most`` blocks, and one more a source, do. Inside a
+    source rows come in the order of a seeded hash of doc_id, then doc_id. ``h`` is a hash of doc_id and text.
 
     Nulls: rows without a source are a source of their own; a null doc_id is ordered first among equal hashes. Empty
     and very long texts count as one row each. Ties and repeated rows take one place each. An empty table gives an
     empty result. Other columns are not read.
     """
     workspace.prepare(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("h"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("h"))
     counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("source")).collect()  # one row a source
     lanes = {r["source"]: i for i, r in enumerate(counts)}  # every source has its own, the largest first
     table = spark.createDataFrame([(k, i) for k, i in lanes.items()], "name string, lane int") if lanes else spark.createDataFrame([], "name string, lane int")
-    rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "source", "h", "lane")
+    rows = rows.join(table, F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "source", "h", "lane")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     keyed = rows.withColumn("o", F.xxhash64(F.col("doc_id"), F.lit(SEED)))
     ordered = keyed.repartitionByRange(n, "lane", "o", "doc_id", "h").sortWithinPartitions("lane", "o", "doc_id", "h")
@@ -150,6 +152,7 @@ def mixed(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None
     sizes = {r["lane"]: r["n"] for r in by_task.groupBy("lane").agg(F.sum("n").alias("n")).collect()}  # one row a lane
     names = {i: k for k, i in lanes.items()}
     target = {k: (weights.get(names[k]) or LEAST) if weights is not None else (m / sum(sizes.values())) ** POWER for k, m in sizes.items()}
+    block = max(block, -(-sum(sizes.values()) // most))
     plan = phases({k: -(-m // block) for k, m in sizes.items()}, target)
     shared = spark.sparkContext.broadcast(plan)
 
@@ -168,9 +171,17 @@ def mixed(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None
 
 
 def mix(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """``docs`` whole, all columns, in the order of the mix: sorted by position over the partitions of the result."""
-    where = mixed(spark, docs, **options).groupBy(F.col("doc_id").alias("p_d"), F.col("h").alias("p_h")).agg(F.min("position").alias("p"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    joined = docs.join(where, F.col("doc_id").cast("long").eqNullSafe(F.col("p_d")) & (F.xxhash64("text") == F.col("p_h"))).select(*names, F.col("p").alias("mix_position"))
+    """``docs``, whole rows with all their columns, in the order of the mix: sorted by position over the partitions.
+
+    A table that is written from it keeps the order in its files' numbers and the rows' places in them, where
+    ``packing.pack_in_order`` finds it.
+
+    Nulls: rows without a source are a source of their own; null texts and ids are hashed as nulls. Ties and repeated
+    rows, alike in doc_id and text, stand side by side at the first of their places. Empty and very long texts count as
+    one row each. An empty table stays empty. Further columns may have any name and type.
+    """
+    where = mixed(spark, docs, **options).groupBy(F.col("h").alias("at")).agg(F.min("position").alias("position"))
+    rows = workspace.packed(docs).withColumn("h", F.xxhash64(F.col("r.doc_id").cast("long"), F.col("r.text")))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    return joined.repartitionByRange(n, "mix_position").sortWithinPartitions("mix_position").drop("mix_position")
+    joined = rows.join(where, F.col("h") == F.col("at")).select("r", "position")
+    return joined.repartitionByRange(n, "position").sortWithinPartitions("position").select("r.*")
