@@ -267,12 +267,36 @@ def test_op7_held_out_accuracy(spark, edge, empty):
 
 
 def test_op7_slices_do_not_change_a_text():
-    text = "élan vital " * 50
+    text = "élan vital " * 50 + "x" * 400 + " fin"
     whole = Counter(np.concatenate(list(language_id.subwords(text))).tolist())
-    old, language_id.SLICE = language_id.SLICE, 97
-    cut = Counter(np.concatenate(list(language_id.subwords(text))).tolist())
+    old = language_id.SLICE
+    for language_id.SLICE in (3, 97, 300):
+        assert Counter(np.concatenate(list(language_id.subwords(text))).tolist()) == whole
     language_id.SLICE = old
-    assert sum((whole & cut).values()) > 0.9 * sum(whole.values())
+    many = "ab " * 100_000  # counts over 65,535
+    b, n = language_id.counted(many)
+    assert n.max() == 100_000
+
+
+def test_op7_every_language_has_its_rows(spark):
+    rows = [(i, f"t{i} word", f"l{i % 300:03}") for i in range(3000)] + [(9, "same text", "l000")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.sample(spark, df, 2, 600).collect()
+    assert {r["lang"] for r in got} == {f"l{i:03}" for i in range(300)} and len(got) < 1500
+    assert max(Counter(r["lang"] for r in got).values()) < 12
+
+
+def test_op7_rejects_noise_and_an_unseen_language(spark):
+    rng = random.Random(19)
+    syllables = {"aa": ["ba", "do", "ki", "mu"], "bb": ["ße", "ür", "än", "löt"], "cc": ["ción", "ñu", "ez", "ría"]}
+    text = lambda s: " ".join("".join(rng.choice(s) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(20, 60)))
+    rows = [(i, text(syllables[k]), k) for i in range(600) for k in [rng.choice(list(syllables))]]
+    noise = [(i, "".join(rng.choice("qwxzvjfghpcyt0123 ") for _ in range(300)), None) for i in range(1000, 1100)]
+    unseen = [(i, text(["ωμ", "λπ", "σθ", "ξψ"]), None) for i in range(2000, 2100)]
+    df = spark.createDataFrame(rows + noise + unseen, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language_id.language_id(spark, df).collect()}
+    assert sum(got[i]["accepted"] for i, _, _ in rows) > 0.98 * len(rows)
+    assert sum(got[i]["score"] for i, _, _ in noise + unseen) < sum(got[i]["score"] for i, _, _ in rows[:200])
 
 
 def test_op8_windows_and_deviation():
@@ -280,7 +304,7 @@ def test_op8_windows_and_deviation():
     for _ in range(60):
         k = rng.randint(1, 6)
         blocks = {i: rng.randint(1, 120) for i in range(k)}
-        plan = mixing.phases(blocks, {i: rng.random() + 0.01 for i in range(k)}, rng.choice([20, 50]))
+        plan = mixing.phases(blocks, {i: rng.random() + 0.01 for i in range(k)})
         lane = np.concatenate([np.full(n, i) for i, n in blocks.items()])
         block = np.concatenate([np.arange(n) for n in blocks.values()])
         slot, release, deadline = mixing.positions(plan, lane, block)

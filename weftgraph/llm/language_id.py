@@ -7,21 +7,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import workspace
 
 #: Hashed subword buckets, embedding size, subword lengths.
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (2, 3, 4)
-#: Bounds of the training sample: rows a language (those with the smallest hashed doc_id), and languages (the most frequent).
-ROWS_A_LANGUAGE, LANGUAGES = 500, 128
+#: Bounds of the training sample: rows a language, and rows in all, but for one a language (those of least hash).
+ROWS_A_LANGUAGE, ROWS = 500, 16_000
 EPOCHS, RATE, SEED = 6, 0.5, 7
 #: Words of the short extracts that training adds for each row, so that short texts are calibrated too.
 EXTRACTS = (8, 3)
 #: The rejection threshold lets through all but this share of correct validation rows, and is never above ``MOST``.
 LOST, MOST = 0.001, 0.5
-#: Characters taken at a time from a long text; memory stays bounded, the text is read whole.
+#: Characters taken at a time from a long text, up to the next blank, so that no subword is cut.
 SLICE = 1 << 18
 UNDEFINED = "und"
 
@@ -39,8 +38,15 @@ def letters() -> np.ndarray:
 def subwords(text: str):
     """Bucket arrays of a text's subwords: runs of 2 to 4 characters inside a word, its ends marked by a blank."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    for at in range(0, len(points), SLICE):
-        own = points[max(0, at - 3) : at + SLICE]
+    at = 0
+    while at < len(points):
+        end = at + SLICE
+        while end < len(points):  # a slice ends where a word does
+            blanks = np.flatnonzero(~letters()[points[end : end + SLICE]])
+            end += int(blanks[0]) if len(blanks) else SLICE
+            if len(blanks):
+                break
+        own, at = points[at:end], end
         a = np.where(letters()[own], own, 32).astype(np.uint32)
         a = np.concatenate([[32], a, [32]]).astype(np.uint32)
         blank = a == 32
@@ -103,8 +109,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
-    """Rows (language, buckets, counts) -> model, by stochastic gradient descent; one row in five sets the calibration."""
+def fit(rows: list[tuple[str, int, np.ndarray, np.ndarray]]) -> Model:
+    """Rows (language, document, buckets, counts) -> model, by stochastic gradient descent; the rows of one document in
+    five set the calibration and are not learned from."""
     names = sorted({r[0] for r in rows})
     if not names:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
@@ -113,13 +120,15 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
     out = np.zeros((DIM, len(names)), np.float32)
     bias = np.zeros(len(names), np.float32)
     y = np.array([names.index(r[0]) for r in rows])
-    share = [(r[2] / max(1, r[2].sum())).astype(np.float32) for r in rows]
-    order = rng.permutation(len(rows))
-    check, train = order[: len(rows) // 5], order[len(rows) // 5 :]
+    share = [(r[3] / max(1, r[3].sum())).astype(np.float32) for r in rows]
+    document = np.array([r[1] for r in rows])
+    documents = np.unique(document)
+    kept = np.isin(document, rng.permutation(documents)[: len(documents) // 5])
+    check, train = np.flatnonzero(kept), np.flatnonzero(~kept)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for i in rng.permutation(train):
-            b, s = rows[i][1], share[i]
+            b, s = rows[i][2], share[i]
             x = s @ embed[b]
             g = _softmax(x @ out + bias)
             g[y[i]] -= 1
@@ -129,7 +138,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
             # the mean spreads a row's gradient over its subwords; scaled up so that short and long rows both move
             embed[b] -= (rate * min(len(b), 50)) * np.outer(s, back)
     table = embed @ out
-    z = np.array([share[i] @ table[rows[i][1]] + bias for i in check]).reshape(len(check), len(names))
+    z = np.array([share[i] @ table[rows[i][2]] + bias for i in check]).reshape(len(check), len(names))
     right = y[check]
     temperature, threshold = 1.0, 0.0
     if len(check):
@@ -147,58 +156,83 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(c.cast("string")) % 4 == 2, F.lit(True))
 
 
+def sample(spark: SparkSession, docs: DataFrame, most: int = ROWS_A_LANGUAGE, total: int = ROWS) -> DataFrame:
+    """(lang, hash, text): of the rows with text and lang that are not held out, about the ``most`` of each language with
+    the least hashed doc_id, one a doc_id (the least text); about ``total`` in all, but at least one a language.
+
+    A language's rows are counted where they are, and a bound on the hash follows from its count; so no language's rows
+    meet in one task. All languages are kept; the driver holds one row of each.
+    """
+    usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id"))
+    usable = usable.select("lang", "text", F.xxhash64(F.col("doc_id").cast("long"), F.lit(SEED)).alias("hash"))
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("least")).collect()
+    quota = max(1, min(most, total // max(1, len(sizes))))
+    cut = [(r["lang"], max(r["least"], min((1 << 63) - 1, -(1 << 63) + (quota << 64) // r["n"]))) for r in sizes]
+    bounds = spark.createDataFrame(cut, "lang string, bound long")
+    chosen = usable.join(bounds, "lang").where("hash <= bound")
+    return chosen.groupBy("lang", "hash").agg(F.min("text").alias("text"))
+
+
 def train(spark: SparkSession, docs: DataFrame) -> Model:
     """Fit on a bounded sample of the rows with text and lang that are not held out."""
     workspace.prepare(spark)
-    usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id"))
-    narrow = usable.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").withColumn("h", F.xxhash64("doc_id", F.lit(SEED)))
-    common = narrow.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    w = W.partitionBy("lang").orderBy("h", "doc_id")
-    ids = narrow.join(F.broadcast(common), "lang", "left_semi").withColumn("r", F.row_number().over(w)).where(F.col("r") <= ROWS_A_LANGUAGE).select("doc_id").distinct()
-    rows = usable.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi")
 
     def features(batches):
         for batch in batches:
             out = []
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            for lang, key, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "hash", "text"))):
                 words = text.split()
                 for own in (text, *(" ".join(words[len(words) // 3 :][:n]) for n in EXTRACTS)):
                     b, n = counted(own)
                     if len(b):
-                        out.append((lang, b.astype(np.int16 if BUCKETS <= 1 << 15 else np.int32).tobytes(), np.minimum(n, 65535).astype(np.uint16).tobytes()))
-            columns = list(zip(*out)) if out else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["lang", "buckets", "counts"])
+                        out.append((lang, key, b.astype(np.int32).tobytes(), n.astype(np.int64).tobytes()))
+            columns = list(zip(*out)) if out else [()] * 4
+            kinds = [pa.string(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "hash", "buckets", "counts"])
 
-    found = rows.dropDuplicates(["doc_id"]).select("lang", "text").mapInArrow(features, "lang string, buckets binary, counts binary").collect()
-    found = sorted((r["lang"], bytes(r["buckets"]), bytes(r["counts"])) for r in found)
-    return fit([(a, np.frombuffer(b, np.int16).astype(np.int64), np.frombuffer(c, np.uint16).astype(np.float64)) for a, b, c in found])
+    found = sample(spark, docs).select("lang", "hash", "text").mapInArrow(features, "lang string, hash long, buckets binary, counts binary").collect()  # the bounded sample
+    found = sorted((r["lang"], r["hash"], bytes(r["buckets"]), bytes(r["counts"])) for r in found)
+    return fit([(a, k, np.frombuffer(b, np.int32).astype(np.int64), np.frombuffer(c, np.int64).astype(np.float64)) for a, k, b, c in found])
 
 
-def predict(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with all its columns and ``lang_pred``, ``score`` and ``accepted``; existing columns of those names go."""
-    workspace.prepare(spark)
+def labels(spark: SparkSession, model: Model):
+    """A function of a text column: struct of lang_pred, score and accepted. Only the texts go to Python."""
     shared = spark.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "accepted")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in names])
 
-    def label(batches):
+    @F.arrow_udf("lang_pred string, score double, accepted boolean")
+    def label(texts: pa.Array) -> pa.Array:
         m = shared.value
-        for batch in batches:
-            found = [m.predict(t) for t in batch.column("text").to_pylist()]
-            more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[0] != UNDEFINED and x[1] >= m.threshold for x in found], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "lang_pred", "score", "accepted"])
+        found = [m.predict(t.as_py()) for t in texts]
+        accepted = [lang != UNDEFINED and score >= m.threshold for lang, score in found]
+        return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array(accepted, pa.bool_())], names=["lang_pred", "score", "accepted"])
+
+    return label
+
 
-    from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
+def predict(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with all its columns and ``lang_pred``, ``score`` and ``accepted``, which replace columns of those names."""
+    workspace.prepare(spark)
+    own = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "accepted")]
+    rows = workspace.packed(docs).withColumn("x", labels(spark, model)("r.text"))
+    return rows.select(*[F.col("r").getField(c).alias(c) for c in own], "x.lang_pred", "x.score", "x.accepted")
 
-    schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("accepted", BooleanType())])
-    return rows.mapInArrow(label, schema)
+
+def keep_accepted(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
+    """``docs``, whole rows with all their columns, whose language the model accepts.
+
+    Nulls: a null text, like an empty one or one without a letter, goes. Repeated rows stay or go together. Very long
+    texts are read whole. An empty table stays empty. Further columns may have any name and type, and none is replaced.
+    """
+    workspace.prepare(spark)
+    return workspace.packed(docs).where(labels(spark, model)("r.text").getField("accepted")).select("r.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, lang, ...) -> (doc_id, held_out, lang_pred, score, accepted), one row per input row.
 
     The model is fitted on a bounded sample of the rows that are not held out; a prediction reads the text alone, whole.
-    ``accepted`` is false where the calibrated score is below the threshold found in training.
+    ``accepted`` is false where the calibrated score is below the threshold found in training. The calibration's
+    documents are not learned from.
 
     Nulls: a null text is ``und`` with score 0, not accepted; a null lang is not learned from; a null doc_id is held
     out. Empty texts and texts without a letter: ``und``. Ties go to the first language by name. Repeated rows give
