@@ -223,6 +223,30 @@ def test_op5_pieces(spark, edge, empty):
     assert packing.pack(spark, empty, WORD).count() == 0
 
 
+def test_op5_windows_in_order(spark, empty, tmp_path):
+    rng = random.Random(21)
+    rows = [(i, " ".join(f"w{rng.randint(0, 50)}" for _ in range(rng.choice([3, 40, 300, 900, 3000]))), f"x{i}") for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, file string").repartitionByRange(7, F.col("doc_id").desc()).sortWithinPartitions(F.col("doc_id").desc()).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = packing.pack_in_order(spark, docs, WORD, window=50).collect()
+    want = packing.pack(spark, docs, WORD).collect()
+    piece = lambda r: (r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])
+    assert Counter(map(piece, got)) == Counter(map(piece, want))
+    bins = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == sum(x["length"] for x in bins.setdefault(r["sequence_id"], []))
+        bins[r["sequence_id"]].append(r)
+    assert max(sum(x["length"] for x in b) for b in bins.values()) <= 2048
+    assert len(bins) <= len({r["sequence_id"] for r in want}) + 8
+    for own in bins.values():  # files were written from the last doc_id on
+        assert len({(199 - x["doc_id"]) // 50 for x in own}) == 1
+    order = [(199 - own[0]["doc_id"]) // 50 for _, own in sorted(bins.items())]
+    assert order == sorted(order)
+    assert packing.pack_in_order(spark, empty, WORD).count() == 0
+    loose = packing.pack_in_order(spark, spark.createDataFrame(rows, "doc_id long, text string, file string"), WORD).collect()
+    assert Counter(map(piece, loose)) == Counter(map(piece, want))
+
+
 def removed(docs):
     seen, out = set(), {}
     for k, (_, t) in enumerate(docs):
@@ -457,6 +481,34 @@ def test_op10_equals_brute_force(spark, edge, empty):
     assert exact_dedup.duplicates(spark, empty).count() == 0 and exact_dedup.drop_duplicates(spark, empty).count() == 0
 
 
+CLASH = "doc_id long, text string, lang string, source string, score double, p int, p_d int, p_h int, gone_d int, gone_h int, lang_pred string, accepted string, r int, s int, h int, t int, d int, x int, maybe int, at int, position int, row int, file string, hot int, first int, m map<string,int>, `a.b` int"
+
+
+def test_stages_take_any_columns(spark):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "mu", "nu"]) for _ in range(60)) for _ in range(30)]
+    texts += [texts[0], texts[1] + " end"]
+    rows = [(i, t, "en", None if i == 4 else "s", -7.0, *range(5), "own", "own", *range(10, 22), "f", 1, 2, {"k": i}, 3) for i, t in enumerate(texts)]
+    fields = [f.strip() for f in re.sub(r"map<string,int>", "map", CLASH).split(",")]
+    rows = [tuple(x) for x in rows]
+    width = len(fields)
+    rows = [(*r[:5], *([0] * 5), "own", "own", *([0] * 10), "f", 0, 0, {"k": r[0]}, 0) for r in rows]
+    assert len(rows[0]) == width
+    df = spark.createDataFrame(rows, CLASH)
+    columns = df.columns
+    kept = [len(texts), len(texts) - 1, len(texts) - 2, len(texts)]
+    for (_, stage), n in zip(corpus_pipeline.STAGES[:4], kept):
+        out = stage(spark, df, "")
+        got = out.collect()
+        assert out.columns == columns and len(got) == n
+        assert all(r["score"] == -7.0 and r["lang_pred"] == "own" and r["m"] == {"k": r["doc_id"]} for r in got)
+        empty = stage(spark, df.limit(0), "")
+        assert empty.columns == columns and empty.count() == 0
+    assert corpus_pipeline.STAGES[4][1](spark, df, "").count() == len(texts)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
