@@ -31,35 +31,55 @@ def _stage(f):
 
 @_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model accepts; the others go. Learned from the rows that are not held out."""
-    model = language_id.train(spark, docs)
-    return language_id.predict(spark, docs, model).where("accepted").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents whose language the model accepts; the others go. Learned from the rows that are not held out.
+
+    Null and empty texts, and texts without a letter, go. Repeated rows go or stay together. Very long texts are read
+    whole. An empty table stays empty. Further columns may have any name.
+    """
+    return language_id.keep_accepted(spark, docs, language_id.train(spark, docs))
 
 
 @_stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal text, up to white space, the one with the least doc_id."""
+    """Of documents with equal text, up to white space, the one with the least doc_id.
+
+    A null text counts as empty; a null doc_id stays only if no other row has its text. Of repeated rows one stays. Very
+    long texts are hashed whole. An empty table stays empty. Further columns may have any name and type.
+    """
     return exact_dedup.drop_duplicates(spark, docs)
 
 
 @_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of documents linked by 5-word Jaccard similarity of 0.8 or more, the one with the least doc_id."""
+    """Of each class of documents linked by 5-word Jaccard similarity of 0.8 or more, the one with the least doc_id.
+
+    Null and empty texts are no copies and stay; a null doc_id stays only if its class has no other. Rows alike in
+    doc_id and text are one document. Very long texts are compared whole. An empty table stays empty. Further columns
+    may have any name and type.
+    """
     return ngram_join.keep_one(spark, docs)
 
 
 @_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in an order in which the sources' shares follow their target weights."""
+    """All documents, in an order in which the sources' shares follow their target weights; the next stage packs in it.
+
+    Rows without a source are a source of their own. Null, empty and very long texts, and repeated rows, take a place
+    each. An empty table stays empty. Further columns may have any name and type.
+    """
     return mixing.mix(spark, docs)
 
 
 @_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 2048 tokens."""
+    """The pieces of all documents with their places in sequences of 2048 tokens, packed in windows of the mix's order.
+
+    A null text is the end id alone, as an empty one; a null doc_id is carried. Very long texts give many pieces.
+    Repeated rows are packed each. An empty table gives no rows. Further columns are not read.
+    """
     import public_tokenizers
 
-    return packing.pack(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_in_order(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
