@@ -175,13 +175,15 @@ def test_op3_keyed_access():
     assert nulls.get(None).tolist() == [1] and [(k, i.tolist()) for k, _, i in nulls.rows()] == [(None, [1]), (5, [2]), (5, [3])]
 
 
-def test_op4_equals_brute_force(spark):
+@pytest.mark.parametrize("dimensions", [64, 65, 200, 10])
+def test_op4_equals_brute_force(spark, dimensions):
     rng = np.random.default_rng(4)
-    vectors = rng.normal(size=(400, 64))
+    vectors = rng.normal(size=(400, dimensions))
     vectors[50:150] = vectors[7]  # one very common code
-    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(1000, None), (None, [1.0] * 64), (1001, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    codes = {i: sum(1 << b for b, x in enumerate(v or []) if x > 0) for i, v in rows if i is not None}
+    vectors[:, -1] = rng.normal(size=400)
+    rows = [(i, [float(x) for x in v], 1) for i, v in enumerate(vectors)] + [(1000, None, 1), (None, [1.0] * dimensions, 1), (1001, [], 1), (1002, [1.0, None, 1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard int")
+    codes = {i: sum(1 << b for b, x in enumerate(v or []) if x and x > 0) for i, v, _ in rows if i is not None}
     for shard in (hamming_search.SHARD, 64):
         old, hamming_search.SHARD = hamming_search.SHARD, shard
         got = {(r["query_id"], r["rank"]): (r["vec_id"], r["distance"]) for r in hamming_search.nearest(spark, df, df.where("vec_id % 50 = 0"), 10).collect()}

@@ -122,7 +122,7 @@ def op4_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["op4_hamming_topk"] = """
 WITH c AS (
-  SELECT vec_id, list_transform(embedding[1:64], lambda x: x > 0) AS bits FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings
 ), d AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.bits, c.bits), lambda z: (z[1] <> z[2])::BIGINT))::BIGINT AS distance
   FROM c q, c WHERE q.vec_id % 50 = 0
