@@ -212,7 +212,7 @@ def write_id_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str, pa
     """
     workspace.prepare(spark)
     width = _width(tokenizer_file(tokenizer_path))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    n = workspace.partitions(spark, docs)
     rows = encoded(spark, docs, tokenizer_path, bounds(docs, n), end_id)
 
     def shards(batches):

@@ -190,7 +190,8 @@ def _level(docs: DataFrame, level: int, known: DataFrame | None) -> DataFrame:
 
 
 def _lists(found: DataFrame) -> DataFrame:
-    """The starts of each row as one list: never longer than the document."""
+    """The starts of each row as one list: never longer than the document. A task's lists are those of a partition of
+    bounded size, and so fit into its memory."""
     return found.groupBy("row").agg(F.collect_list("at").alias("at")).hint("shuffle_hash")
 
 
@@ -211,7 +212,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
         F.coalesce("text", F.lit("")).alias("text"),
     )
     # every level reads this one exchange: the columns must stay the same for Spark to reuse it
-    dealt = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "row")
+    dealt = rows.repartition(workspace.partitions(spark, rows), "row")
     level, known = BASE, None
     while level <= WINDOW:
         known = _level(dealt, level, known)

@@ -10,15 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts may be long, so batches are kept small.
-ARROW_ROWS = 256
+ARROW_ROWS, ARROW_BYTES = 256, 16 << 20
+#: Bytes, as Spark estimates them, of a shuffle partition of texts.
+PARTITION = 128 << 20
 #: Folders made so far, each with the tag under which it was made.
 _live: list[tuple[str, str]] = []
 _tag = ""
 
 
 def prepare(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for very long texts."""
+    """Keep Arrow batches small enough for very long texts, in rows and in bytes.
+
+    Plans read these settings when they run, which is after the operator returns; so the session keeps them.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def partitions(spark: SparkSession, df: DataFrame, size: int = PARTITION) -> int:
+    """Shuffle partitions for rows with whole texts: as many as the session's, or as a bounded size of each takes."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    by_size = -(-known // size) if known < 1 << 60 else 0  # Spark's size of a plan it knows nothing of is the largest number
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), by_size, 1)
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -27,9 +40,11 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset, as in tests, a folder of our own."""
+    """``spark.checkpoint.dir`` of the session; where it is unset in local mode, as in tests, a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not (spark.sparkContext.master or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         root = tempfile.mkdtemp(prefix="weft-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
