@@ -15,9 +15,18 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: The same as a list of characters.
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value found once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column | str) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(col(c), rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(col(c), F.lit(BLANKS))
 
 
 def words(c: Column | str) -> Column:
@@ -83,14 +92,16 @@ def chunks(c: Column | str, size: int = 800, overlap: int = 100) -> Column:
     sentences = F.split(strip(c), rf"(?<=[.!?]){SPACE}+")
     tail = (lambda cur: F.right(cur, F.lit(overlap))) if overlap > 0 else (lambda cur: F.lit(""))
 
+    def closed(cur: Column, out: Column) -> Column:
+        return let(strip(cur), lambda x: F.when(x != "", F.concat(out, F.array(x))).otherwise(out))
+
     def step(acc: Column, s: Column) -> Column:
         cur, out = acc["cur"], acc["out"]
         fits = F.length(cur) + F.length(s) <= size
-        closed = F.when(strip(cur) != "", F.concat(out, F.array(strip(cur)))).otherwise(out)
-        return F.struct(F.when(fits, F.concat(cur, s, F.lit(" "))).otherwise(F.concat(tail(cur), s, F.lit(" "))).alias("cur"), F.when(fits, out).otherwise(closed).alias("out"))
+        return F.struct(F.when(fits, F.concat(cur, s, F.lit(" "))).otherwise(F.concat(tail(cur), s, F.lit(" "))).alias("cur"), F.when(fits, out).otherwise(closed(cur, out)).alias("out"))
 
     start = F.struct(F.lit("").alias("cur"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(sentences, start, step, lambda acc: F.when(strip(acc["cur"]) != "", F.concat(acc["out"], F.array(strip(acc["cur"])))).otherwise(acc["out"]))
+    return F.aggregate(sentences, start, step, lambda acc: closed(acc["cur"], acc["out"]))
 
 
 def line_chunks(c: Column | str, size: int = 500, overlap: int = 50) -> Column:

@@ -13,6 +13,9 @@ TRIPLE = "array<struct<s:string,p:string,o:string>>"
 # What pattern extraction looks for. The copula pattern is an unambiguous form of "X is a Y".
 COPULA = r"(?iuU)([A-Za-zÀ-ÿ]{2,}(?:\s+[A-Za-zÀ-ÿ]+)*)\s+(?:is|est|was|était)\s+(?:a|an|un|une|the|le|la)?\s*([A-Za-zÀ-ÿ]+(?:\s+[A-Za-zÀ-ÿ]+)*)"
 COPULA_HINT = r"(?iuU)\s(?:is|est|was|était)\s"
+RUN = r"(?iuU)[A-Za-zÀ-ÿ]+(?:\s+[A-Za-zÀ-ÿ]+)*"
+TITLE_HINT = r"(?iuU)\s(?:king|queen|prince|goddess|god|roi|reine|prince|déesse|dieu)\s+(?:of|de|du|des)\s"
+AND_HINT = r"\s(?:and|et)\s+[A-ZÀ-Ý]"
 TITLE = r"(?iuU)([A-ZÀ-Ý][a-zà-ÿ]+),?\s+(?:king|queen|prince|goddess|god|roi|reine|prince|déesse|dieu)\s+(?:of|de|du|des)\s+([A-ZÀ-Ý][a-zà-ÿ]+)"
 AND = r"([A-ZÀ-Ý][a-zà-ÿ]+)\s+(?:and|et)\s+([A-ZÀ-Ý][a-zà-ÿ]+)"
 
@@ -24,11 +27,14 @@ POSSESSIVE = r"([A-Z][a-zA-Z\s]+?)\s+(?:is|was)\s+([A-Z][a-zA-Z\s]+?)'s\s+([a-z]
 VERB = r"(?i)([A-Z][a-zA-Z\s]+?)\s+(offered|promised|chose|gave|took|received|sought|desired)\s+(?:him|her|them)?\s*([a-z][a-zA-Z\s]+?)(?:\.|,|$)"
 
 
-def _groups(text: Column, pattern: str, n: int) -> Column:
-    """Matches of a pattern as structs g0, g1, ... of its groups, stripped."""
-    found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i + 1)) for i in range(n)]
-    places = F.when(F.size(found[0]) > 0, F.sequence(F.lit(0), F.size(found[0]) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(*[strip(F.get(found[g], i)).alias(f"g{g}") for g in range(n)]))
+def _groups(text: Column, pattern: str, n: int, most: int | None = None) -> Column:
+    """Matches of a pattern, or the first ``most``, as structs g0, g1, ... of its groups, stripped.
+
+    The text is searched once for whole matches; a match tells its own groups.
+    """
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = F.slice(found, 1, most) if most else found
+    return F.transform(found, lambda m: F.struct(*[strip(F.regexp_extract(m, pattern, g + 1)).alias(f"g{g}") for g in range(n)]))
 
 
 def _triple(s: Column, p: Column, o: Column) -> Column:
@@ -38,9 +44,14 @@ def _triple(s: Column, p: Column, o: Column) -> Column:
 def pattern_triples(text: Column) -> Column:
     """Triples that patterns find: at most three copulas and titles and two conjunctions, first come first."""
     empty = F.array().cast(TRIPLE)
-    copula = F.when(F.rlike(text, F.lit(COPULA_HINT)), F.filter(F.slice(_groups(text, COPULA, 2), 1, 3), lambda m: (F.length(m["g0"]) > 2) & (F.length(m["g1"]) > 2))).otherwise(F.array().cast("array<struct<g0:string,g1:string>>"))
-    title = F.slice(_groups(text, TITLE, 2), 1, 3)
-    both = F.filter(F.slice(_groups(text, AND, 2), 1, 2), lambda m: (F.length(m["g0"]) > 2) & (F.length(m["g1"]) > 2))
+    none = F.array().cast("array<struct<g0:string,g1:string>>")
+    # a copula's match fills the rest of a run of words, so that a run has one at most, and runs without its verb have none
+    runs = F.filter(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda r: F.rlike(r, F.lit(COPULA_HINT)))
+    pairs = F.transform(runs, lambda r: F.struct(strip(F.regexp_extract(r, COPULA, 1)).alias("g0"), strip(F.regexp_extract(r, COPULA, 2)).alias("g1")))
+    long = lambda m: (F.length(m["g0"]) > 2) & (F.length(m["g1"]) > 2)
+    copula = F.when(F.rlike(text, F.lit(COPULA_HINT)), F.filter(F.slice(F.filter(pairs, lambda m: m["g1"] != ""), 1, 3), long)).otherwise(none)
+    title = F.when(F.rlike(text, F.lit(TITLE_HINT)), _groups(text, TITLE, 2, 3)).otherwise(none)
+    both = F.when(F.rlike(text, F.lit(AND_HINT)), F.filter(_groups(text, AND, 2, 2), long)).otherwise(none)
 
     def as_triples(found: Column, p: str) -> Column:
         return F.transform(found, lambda m: _triple(m["g0"], F.lit(p), m["g1"]))

@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import chunks, line_chunks
+from ..functions.text import chunks, col, let, line_chunks
+from ..operators.settle import settle
+
+
+def numbered(names: DataFrame, column: str) -> DataFrame:
+    """Rows numbered from 1 by a column, in two levels: inside ranges of it, after the rows of the ranges before."""
+    spark = names.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = settle(names.repartitionByRange(n, column).withColumn("part", F.spark_partition_id()))
+    inside = dealt.withColumn("place", F.row_number().over(W.partitionBy("part").orderBy(column)))
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    before = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return inside.join(before, "part").withColumn("page_num", (F.col("before") + F.col("place")).cast("int")).drop("part", "place", "before")
 
 
 def _paged(raw: DataFrame, collection: str) -> DataFrame:
-    """Numbers pages by sorted path. Paths alone meet in one window; texts don't move."""
-    names = raw.select("source").distinct()
-    numbered = names.withColumn("page_num", F.row_number().over(W.orderBy("source")))
-    return raw.join(numbered, "source").select(F.lit(collection).alias("collection"), "page_num", F.element_at(F.split("source", "/"), -1).alias("page"), "source", "content")
+    """Numbers pages by sorted path."""
+    return raw.join(numbered(raw.select("source").distinct(), "source"), "source").select(F.lit(collection).alias("collection"), "page_num", F.element_at(F.split("source", "/"), -1).alias("page"), "source", "content")
 
 
 def read_pages(spark: SparkSession, path: str, glob: str = "*.txt", collection: str = "default") -> DataFrame:
@@ -44,17 +54,24 @@ def batches(chunked: DataFrame, n: int = 4) -> DataFrame:
 
 def page_batches(pages: DataFrame, size: int = 500, overlap: int = 50, n: int = 4) -> DataFrame:
     """The same from pages, without a shuffle: a page's chunks are in its row already."""
-    c = F.col("c")
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / n).cast("int")), lambda i: F.array_join(F.slice(c, i * n + 1, F.lit(n)), "\n\n"))
-    return pages.withColumn("c", chunks("content", size, overlap)).where(F.size("c") > 0).select("page_num", "page", "source", F.posexplode(parts).alias("batch_idx", "text"))
+    return pages.select("page_num", "page", "source", F.posexplode(let(chunks("content", size, overlap), lambda c: _slices(c, n, "\n\n"))).alias("batch_idx", "text"))
+
+
+def _slices(items: Column, n: int, mark: str) -> Column:
+    """Each ``n`` strings of an array joined; none for an empty array."""
+    places = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.floor((F.size(items) - 1) / n).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.array_join(F.slice(items, i * n + 1, F.lit(n)), mark))
+
+
+def text_batches(c: Column | str, n: int = 50) -> Column:
+    """Each ``n`` lines of a text, the tail too, joined again."""
+    return let(F.split(F.regexp_replace(col(c), r"\n\z", ""), "\n"), lambda x: _slices(x, n, "\n"))
 
 
 def line_batches(spark: SparkSession, path: str, n: int = 50) -> DataFrame:
     """(source, batch_idx, text): each ``n`` lines of a file, the tail too; lines are numbered in the row of their file."""
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.col("value"))
-    lines = F.split(F.regexp_replace("value", r"\n\z", ""), "\n")
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / n).cast("int")), lambda i: F.array_join(F.slice("l", i * n + 1, F.lit(n)), "\n"))
-    return raw.withColumn("l", lines).select("source", F.posexplode(parts).alias("batch_idx", "text"))
+    return raw.select("source", F.posexplode(text_batches("value", n)).alias("batch_idx", "text"))
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
