@@ -169,10 +169,39 @@ def test_plugins(spark):
     assert {x["doc_type"] for x in classify(df, lambda: lambda p: ["TYPE: narrative CONFIDENCE: 0.8 REASONING: a tale"] * len(p)).collect()} == {"narrative"}
     a = parsed_type(spark.createDataFrame([("TYPE: technical\nCONFIDENCE: 0.5\nREASONING: words",)], "answer string")).first()
     assert (a["doc_type"], a["confidence"], a["reasoning"]) == ("technical", 0.5, "words")
+    b = parsed_type(spark.createDataFrame([("TYPE: [NARRATIVE]\nCONFIDENCE: HIGH\nREASONING: a hero",)], "answer string")).first()
+    assert (b["doc_type"], b["level"], b["reasoning"]) == ("narrative", "HIGH", "a hero")
     c = spark.createDataFrame([("q", "ctx")], "question string, context string")
     assert answers(c).first()["response"] == "ctx" and answers(c, broken).first()["response"].startswith("Error")
 
 
+def test_models_that_are_late_or_fail(spark):
+    import time
+
+    from weftgraph import plugins
+
+    df = spark.createDataFrame([(1, 0, "Ann and Bob went"), (2, 0, "Ann and Bob went"), (3, 0, "Eve and Max")], "page_num int, batch_idx int, text string")
+    late = lambda: lambda prompts: time.sleep(30) or prompts
+    failing = lambda: lambda prompts: 1 / 0
+    got = triples.extract(df, model_triples(late, timeout=0.5)).count()
+    assert got == 3  # patterns fill in
+    assert triples.extract(df, model_triples(failing)).count() == 0
+    told = plugins.classify(df, late, timeout=0.5)
+    assert {r["doc_type"] for r in told.collect()} == {"unknown"}
+    s = plugins.classifier_stats(told).first()
+    assert (s["cache_size"], s["cache_hits"], s["calls"], s["timeouts"]) == (2, 1, 2, 2)
+    numbered = lambda: lambda prompts: ["\n".join(f"{i}. {'narrative' if 'Ann' in x else 'poem'}" for i, x in enumerate([y for y in p.split("\n") if y[:1].isdigit()], 1)) for p in prompts]
+    assert {r["page_num"]: r["doc_type"] for r in plugins.classify_many(df, numbered).collect()} == {1: "narrative", 2: "narrative", 3: "unknown"}
+    prompts = {plugins.extraction_prompt(k, v) for k in ("narrative", "technical", "conversational", "scientific", "unknown") for v in (False, True)}
+    assert len(prompts) == 10 and all("{text}" in p for p in prompts)
+
+
+def test_each_batch_has_its_type(spark):
+    df = spark.createDataFrame([(1, 0, "The king returned. He was brave. Suddenly the battle went on. The hero said so."), (2, 0, "Step 1: configure 3.5 GB at 10%. The method must use setup.")], "page_num int, batch_idx int, text string")
+    assert [r["doc_type"] for r in triples.typed(df).orderBy("page_num").collect()] == ["narrative", "technical"]
+    assert {r["doc_type"] for r in triples.typed(df, "scientific").collect()} == {"scientific"}
+
+
 def test_build_and_query(spark, tmp_path):
     from weftgraph.api import Index
 
@@ -219,6 +248,32 @@ def test_streaming_build(spark, tmp_path):
     assert {r["src"] for r in last.collect()} >= {"Ann", "Bob"} and len(seen) == 2
 
 
+def test_streams_resolve_over_batches(spark, tmp_path):
+    from weftgraph.sources.store import Store
+    from weftgraph.streaming import build
+
+    store, run = Store(spark, str(tmp_path / "store"), "s"), None
+    run = build.upsert_pages(store, "narrative", add_inverse=False)
+    page = lambda name, text: spark.createDataFrame([(f"/in/{name}", text)], "source string, content string")
+    run(page("page1.txt", "Helen and Paris."), 0)
+    run(page("page2.txt", "Helen Sparta is a queen. Paris and Helen."), 1)
+    ends = lambda v: {(r["src"], r["dst"]) for r in store.read(f"edges/v{v}").collect()}
+    assert ("Helen", "Paris") in ends(0)
+    assert ("Helen Sparta", "Paris") in ends(1) and ("Paris", "Helen Sparta") in ends(1) and not any("Helen" in e for e in ends(1))
+    before = ends(1)
+    run(page("page2.txt", "Helen Sparta is a queen. Paris and Helen."), 1)  # again, as after a failure
+    assert ends(1) == before
+
+
+def test_html_page(spark, tmp_path):
+    from weftgraph.sources.page import write_page
+
+    edges = spark.createDataFrame([("a</script>", "b", "KNOWS", 1, 1), ("b", "c", "LIKES", 2, 2)], "src string, dst string, relation string, first_seq long, last_seq long")
+    write_page(spark, edges, str(tmp_path / "g.html"), "A & B", 2)
+    text = (tmp_path / "g.html").read_text()
+    assert "A &amp; B" in text and "2 nodes" in text and text.count("</script>") == 1
+
+
 def test_command_line():
     from weftgraph.__main__ import main, parser
 
@@ -285,12 +340,12 @@ def test_whole_graph_queries_equal_brute_force(spark):
         if old == root:
             break
     rows = lambda name: registry.QUERIES[name](spark, sf).collect()
-    assert len(nodes) > 100 and {r["entity"]: r["component"] for r in rows("g9_components_all")} == root
-    stats = rows("a13_graph_stats_all")[0]
+    assert len(nodes) > 100 and {r["entity"]: r["component"] for r in rows("g9_components")} == root
+    stats = rows("a13_graph_stats")[0]
     assert stats["nodes"] == len(nodes) and stats["is_connected"] == (len(set(root.values())) == 1)
     found = {r["entity"]: r["community"] for r in rows("g8_communities")}
     assert found.keys() == nodes
-    for r in rows("w10_ranked_communities_all"):
+    for r in rows("w10_ranked_communities"):
         assert r["size"] == sum(c == r["community"] for c in found.values()) and r["rank"] == r["community"] + 1
     assert all(r["community"] == found[r["entity"]] for r in rows("j20_node_communities"))
     assert {r["entity"] for r in rows("g11_page_layout")} == nodes

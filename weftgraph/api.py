@@ -74,8 +74,12 @@ class Index:
             raise ValueError(f"unknown dedup mode {self.dedup!r}")
         self.store = Store(self.spark, self.root, self.collection)
 
-    def build(self, source: str, glob: str = "*.txt", mode: str = "append", doc_type: str = "narrative", add_inverse: bool = True, validate: bool = True) -> DataFrame:
-        """Index the files below ``source``; ``mode``: ``overwrite`` starts anew. Returns the build's statistics."""
+    def build(self, source: str, glob: str = "*.txt", mode: str = "append", doc_type: str | None = None, add_inverse: bool = True, validate: bool = True) -> DataFrame:
+        """Index the files below ``source``; ``mode``: ``overwrite`` starts anew. Returns the build's statistics.
+
+        ``doc_type``: the type of all texts; by default each batch of chunks has its own, by the model if there is one,
+        else by patterns.
+        """
         if mode == "overwrite":
             self.store.remove()
         self.store.write("pages", files.read_pages(self.spark, source, glob, self.collection))
@@ -83,9 +87,11 @@ class Index:
         chunks = files.passages(pages)
         self.store.write("chunks", self.embed(chunks) if self.embed else chunks.withColumn("embedding", F.lit(None).cast("array<float>")))
         model = plugins.model_triples(self.make_model, doc_type, self.validity == "verbose") if self.make_model else None
-        found = triples.extract(files.page_batches(pages, self.chunk_size, self.overlap, self.batch), model)
+        classifier = (lambda b: plugins.classify(b, self.make_model).drop("confidence", "level", "reasoning", "error")) if self.make_model else None
+        batches = triples.typed(files.page_batches(pages, self.chunk_size, self.overlap, self.batch), doc_type, classifier)
+        found = triples.extract(batches, model)
         found = triples.valid(found, self.validity) if validate else found
-        found = triples.with_inverses(found, doc_type) if add_inverse else found.withColumn("is_inverse", F.lit(False))
+        found = triples.with_inverses(found, F.col("doc_type")) if add_inverse else found.withColumn("is_inverse", F.lit(False))
         self.store.write("triples", found.withColumnRenamed("page", "source_page"))
         rows = self.store.read("triples")
         mentions = rows.select((F.col("seq") * 2).alias("seq"), F.col("subject").alias("mention")).unionByName(rows.select((F.col("seq") * 2 + 1).alias("seq"), F.col("object").alias("mention")))
@@ -95,10 +101,7 @@ class Index:
             resolved = resolve.resolve_batch(mentions, "none")
         else:
             resolved = resolve.resolve_batch(mentions, self.dedup)
-            key = lambda c: resolve.normalize_entity(c)
-            a, b = resolved.toDF("s_norm", "s_name"), resolved.toDF("o_norm", "o_name")
-            named = rows.withColumns({"s_norm": key("subject"), "o_norm": key("object")}).join(a, "s_norm").join(b, "o_norm")
-            named = named.withColumns({"subject_original": F.col("subject"), "object_original": F.col("object"), "subject": F.col("s_name"), "object": F.col("o_name")}).drop("s_norm", "o_norm", "s_name", "o_name")
+            named = resolve.named(rows, resolved)
             freq = resolve.entity_frequency(mentions, resolved)
         self.store.write("resolver_map", resolved.withColumn("kind", F.lit("canonical_map")))
         self.store.write("entity_freq", freq)
@@ -119,6 +122,16 @@ class Index:
         passages = self.store.read("chunks")
         return hybrid_query(self.spark, question, self.store.read("edges"), passages, vector, make_model=self.make_model, **options)
 
+    def page(self, path: str, title: str = "Graph", most: int = 200) -> None:
+        """Writes an HTML page of the ``most`` most central nodes in their layers, with the links between them."""
+        from .sources.page import write_page
+
+        write_page(self.spark, self.store.read("edges"), path, title, most)
+
+    def type_counts(self) -> DataFrame:
+        """(doc_type, n): batches with triples by type."""
+        return self.store.read("triples").select("doc_type", "page_num", "batch_idx").distinct().groupBy("doc_type").agg(F.count(F.lit(1)).alias("n"))
+
     def layered(self) -> tuple[DataFrame, DataFrame]:
         """(nodes, edges) of the page-layered projection, laid out page by page."""
         e = self.store.read("edges")

@@ -7,9 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .settle import settle
+from .substrings import inside
 
-#: A neighbourhood's frontier is broadcast below so many nodes; beyond, it is joined by shuffle.
-SMALL = 100_000
 RELATED = "RELATED_TO"
 EXTRAS = ("page_num", "source_page", "subject_original", "object_original")
 
@@ -54,16 +53,17 @@ def undirected(edges: DataFrame) -> DataFrame:
 def seeds(entity_table: DataFrame, wanted: DataFrame) -> DataFrame:
     """(wanted) -> (wanted, entity): equal, else equal without case, else the shortest that contains or is contained.
 
-    Two equi-joins settle nearly all; only what neither finds is compared by containment. Those names come from a question
-    and are few; Spark checks their size before it broadcasts them.
+    Two equi-joins settle nearly all; what neither finds is looked for inside the entities, and they in it, by equality
+    of substrings.
     """
     e = entity_table.select("entity")
     exact = wanted.join(e, F.col("wanted") == F.col("entity")).select("wanted", "entity", F.lit(0).alias("tier"))
     rest = wanted.join(exact, "wanted", "left_anti")
     caseless = rest.join(e, F.lower("wanted") == F.lower("entity")).select("wanted", "entity", F.lit(1).alias("tier"))
     rest = rest.join(caseless, "wanted", "left_anti")
-    inside = F.contains(F.lower("entity"), F.lower("wanted")) | F.contains(F.lower("wanted"), F.lower("entity"))
-    partial = e.join(rest, inside).select("wanted", "entity", F.lit(2).alias("tier"))
+    low, want = e.withColumn("low", F.lower("entity")), rest.select("wanted", F.lower("wanted").alias("want"))
+    partial = inside(low, "low", want, "want").select("wanted", "entity").unionByName(inside(want, "want", low, "low").select("wanted", "entity"))
+    partial = partial.withColumn("tier", F.lit(2))
     best = F.min(F.struct("tier", F.length("entity").alias("n"), "entity")).alias("b")
     return exact.unionByName(caseless).unionByName(partial).groupBy("wanted").agg(best).select("wanted", F.col("b.entity").alias("entity"))
 

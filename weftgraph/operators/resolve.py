@@ -63,7 +63,17 @@ def resolve_batch(mentions: DataFrame, mode: str = "light", threshold: float = F
     """
     if mode == "none":
         return mentions.select(F.col("mention").alias("norm"), F.col("mention").alias("canonical")).distinct()
-    first = first_forms(mentions)
+    return resolve_forms(first_forms(mentions), mode, threshold)
+
+
+def merge_forms(forms: DataFrame, newer: DataFrame) -> DataFrame:
+    """Two tables of ``first_forms`` as one: the state that a resolution carries over builds and micro-batches."""
+    both = forms.unionByName(newer)
+    return both.groupBy("norm").agg(F.min_by("form", "first_seq").alias("form"), F.min("first_seq").alias("first_seq"), F.sum("n").alias("n"))
+
+
+def resolve_forms(first: DataFrame, mode: str = "light", threshold: float = FUZZY) -> DataFrame:
+    """``resolve_batch`` from the table of first forms."""
     links = prefix_links(first) if mode == "light" else title_links(first).unionByName(fuzzy_links(first, threshold).select("norm", "longer"))
     classes = components(links.select(F.col("norm").alias("src"), F.col("longer").alias("dst")))
     grouped = first.join(classes.withColumnRenamed("entity", "norm"), "norm", "left").withColumn("component", F.coalesce("component", "norm"))
@@ -72,6 +82,16 @@ def resolve_batch(mentions: DataFrame, mode: str = "light", threshold: float = F
     return grouped.join(names, "component").select("norm", "canonical")
 
 
+def named(triples: DataFrame, resolved: DataFrame, ends: tuple[str, str] = ("subject", "object")) -> DataFrame:
+    """Rows with both ends as their canonical names; the names as they were stay in ``subject_original``, ``object_original``."""
+    out = triples
+    for end, kept in zip(ends, ("subject_original", "object_original")):
+        own = resolved.select(F.col("norm").alias("_norm"), F.col("canonical").alias("_name"))
+        out = out.withColumn("_key", normalize_entity(end)).join(own, F.col("_key") == F.col("_norm"), "left")
+        out = out.withColumn(kept, F.col(end)).withColumn(end, F.coalesce("_name", end)).drop("_key", "_norm", "_name")
+    return out
+
+
 def entity_frequency(mentions: DataFrame, resolved: DataFrame) -> DataFrame:
     return mentions.withColumn("norm", normalize_entity("mention")).join(resolved, "norm").groupBy("canonical").agg(F.count(F.lit(1)).alias("n"))
 

@@ -7,11 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, tokens, words
+from .settle import settle
+from .substrings import inside
 
 THRESHOLDS = (0.75, 0.50, 0.25)
 MOST_ENTITIES = 10
-#: Rows of ranked passages that can matter to a budget are at most so many.
-MOST_PASSAGES = 100_000
+#: Thresholds that a search falls back to: steps down from the first, and never below the floor.
+STEP, TRIES, FLOOR = 0.25, 3, 0.10
 
 # What in a question looks like an entity.
 CAPITALISED = r"(?<![.!?]\s)(?<!^)\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"
@@ -44,10 +46,8 @@ def known_matches(questions: DataFrame, entities: DataFrame) -> DataFrame:
     e = entities.select("entity", F.lower("entity").alias("low")).where("low <> ''")
     q = questions.select("qid", F.lower("question").alias("q"))
     by_word = q.select("qid", F.explode(query_words("q")).alias("w")).join(e.select("entity", F.explode(F.array_distinct(words("low"))).alias("w")), "w").select("qid", "entity")
-    lengths = e.select(F.length("low").alias("n")).distinct()
-    cut = q.join(F.broadcast(lengths), F.length("q") >= F.col("n")).select("qid", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("q") - F.col("n") + 1), lambda i: F.substring("q", i, F.col("n"))))).alias("low"))
-    inside = cut.join(e, "low").select("qid", "entity")
-    return by_word.unionByName(inside).distinct()
+    named = inside(q, "q", e, "low").select("qid", "entity")
+    return by_word.unionByName(named).distinct()
 
 
 def best_matches(candidates: DataFrame, entities: DataFrame) -> DataFrame:
@@ -59,8 +59,9 @@ def best_matches(candidates: DataFrame, entities: DataFrame) -> DataFrame:
     shared = F.size(F.array_intersect(words("c"), words("low")))
     most = F.greatest(F.size(F.array_distinct(words("c"))), F.size(F.array_distinct(words("low"))))
     score = F.when(F.contains("low", F.col("c")), F.length("c") / F.length("low")).when(F.contains("c", F.col("low")), F.length("low") / F.length("c")).otherwise(F.when(shared > 0, shared / most * 0.8).otherwise(0.0))
-    # candidates come from questions and are few; Spark checks their size before it broadcasts them
-    scored = e.join(rest, F.contains("low", F.col("c")) | F.contains("c", F.col("low")) | F.arrays_overlap(words("c"), words("low"))).withColumn("score", score).where("score > 0.5")
+    by_word = rest.withColumn("w", F.explode(F.array_distinct(words("c")))).join(e.withColumn("w", F.explode(F.array_distinct(words("low")))), "w").drop("w")
+    pairs = by_word.unionByName(inside(e, "low", rest, "c")).unionByName(inside(rest, "c", e, "low")).distinct()
+    scored = pairs.withColumn("score", score).where("score > 0.5")
     best = scored.groupBy("candidate").agg(F.min(F.struct((-F.col("score")).alias("s"), F.length("entity").alias("n"), "entity")).alias("b"))
     return exact.unionByName(best.select("candidate", F.col("b.entity").alias("entity"), (-F.col("b.s")).alias("score")))
 
@@ -87,10 +88,11 @@ def question_entities(questions: DataFrame, entities: DataFrame, most: int = MOS
 def legacy_entities(questions: DataFrame, entities: DataFrame, most: int = MOST_ENTITIES) -> DataFrame:
     """Entities in a question, or with a question word of four letters or more inside; the first ``most`` by name."""
     e = entities.select("entity", F.lower("entity").alias("low"))
-    q = questions.select("qid", F.lower("question").alias("q")).withColumn("w", query_words("q", 3))
-    hit = F.contains("q", F.col("low")) | F.exists("w", lambda x: F.contains(F.col("low"), x))
+    q = questions.select("qid", F.lower("question").alias("q"))
+    asked = q.select("qid", F.explode(query_words("q", 3)).alias("w"))
+    hit = inside(q, "q", e, "low").select("qid", "entity").unionByName(inside(e, "low", asked, "w").select("qid", "entity")).distinct()
     w = W.partitionBy("qid").orderBy("entity")
-    return e.join(q, hit).select("qid", "entity").distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
 def explain_entities(questions: DataFrame) -> DataFrame:
@@ -130,10 +132,18 @@ def distinct_passages(found: DataFrame, keys: tuple[str, ...] = ("page_num", "ch
 def within_budget(ranked: DataFrame, budget: int, order: list, text: str = "content") -> DataFrame:
     """The first passages whose tokens sum up to the budget; it ends at the first that goes over.
 
-    Passages take a token each at least in practice, so no more than ``budget`` matter: those are picked first, by a
-    distributed top-k, and only they meet in one window.
+    A running sum in two levels: over ranges of the order, one row each, then inside the ranges that begin within the
+    budget. Passages of no tokens take no room.
     """
-    most = min(MOST_PASSAGES, max(1, budget))
-    top = ranked.withColumn("tokens", tokens(text)).orderBy(*order).limit(most)
-    w = W.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return top.withColumn("used", F.sum("tokens").over(w)).where(F.col("used") <= budget)
+    n = max(int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = settle(ranked.withColumn("tokens", tokens(text)).repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = dealt.groupBy("_part").agg(F.sum("tokens").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    w = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    near = dealt.join(before.where(F.col("_before") <= budget), "_part")
+    return near.withColumn("used", F.col("_before") + F.sum("tokens").over(w)).where(F.col("used") <= budget).drop("_part", "_before")
+
+
+def falling(first: float) -> tuple[float, ...]:
+    """The thresholds of a search that begins at ``first``."""
+    return tuple(dict.fromkeys(max(FLOOR, first - STEP * i) for i in range(TRIES)))

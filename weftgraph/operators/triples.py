@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import patterns
 from ..functions.text import strip, valid_entity
 from ..vocab import inverse_pairs
 
 TRIPLE = "array<struct<s:string,p:string,o:string>>"
 
 # What pattern extraction looks for. The copula pattern is an unambiguous form of "X is a Y".
-COPULA = r"(?iuU)([A-Za-zÀ-ÿ]{2,}(?:\s+[A-Za-zÀ-ÿ]+)*)\s+(?:is|est|was|était)\s+(?:a|an|un|une|the|le|la)?\s*([A-Za-zÀ-ÿ]+(?:\s+[A-Za-zÀ-ÿ]+)*)"
+COPULA = r"(?iuU)([A-ZÀ-Ý][a-zà-ÿ]+(?:\s+[a-zà-ÿ]+)*)\s+(?:is|est|was|était)\s+(?:a|an|un|une|the|le|la)?\s*([a-zà-ÿ]+(?:\s+[a-zà-ÿ]+)*)"
 COPULA_HINT = r"(?iuU)\s(?:is|est|was|était)\s"
-RUN = r"(?iuU)[A-Za-zÀ-ÿ]+(?:\s+[A-Za-zÀ-ÿ]+)*"
+RUN = r"(?iuU)[a-zà-ÿ]+(?:\s+[a-zà-ÿ]+)*"
 TITLE_HINT = r"(?iuU)\s(?:king|queen|prince|goddess|god|roi|reine|prince|déesse|dieu)\s+(?:of|de|du|des)\s"
 AND_HINT = r"\s(?:and|et)\s+[A-ZÀ-Ý]"
 TITLE = r"(?iuU)([A-ZÀ-Ý][a-zà-ÿ]+),?\s+(?:king|queen|prince|goddess|god|roi|reine|prince|déesse|dieu)\s+(?:of|de|du|des)\s+([A-ZÀ-Ý][a-zà-ÿ]+)"
@@ -137,6 +138,16 @@ def with_inverses(triples: DataFrame, doc_type: Column | str = "technical") -> D
     return flat.select(F.col("t.n").alias("seq"), F.col("t.s").alias("subject"), F.col("t.p").alias("predicate"), F.col("t.o").alias("object"), F.col("t.inv").alias("is_inverse"), *rest)
 
 
+def typed(batches: DataFrame, doc_type: str | None = None, classifier=None) -> DataFrame:
+    """Batches with ``doc_type``: the one given or, chunk by chunk, what ``classifier`` (a function of a DataFrame that
+    adds it) or else the patterns of the chunk's own language say."""
+    if doc_type is not None:
+        return batches.withColumn("doc_type", F.lit(doc_type))
+    if classifier is not None:
+        return classifier(batches)
+    return batches.withColumn("doc_type", patterns.DEFAULT.detect_any(F.col("text"))["type"])
+
+
 def extract(batches: DataFrame, extractor=None) -> DataFrame:
     """Batches (page_num, batch_idx, text, ...) -> triples with ``seq`` by page, batch and place.
 

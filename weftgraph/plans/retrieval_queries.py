@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import context, graph
 from ..operators import retrieve as rt
+from ..operators.settle import fresh_folder
+from ..sources import files
 from ..tables import table
 from .kg import EDGES_SQL, key_edges
 from .registry import query
@@ -45,13 +47,22 @@ def legacy(spark, sf):
     return rt.legacy_entities(_questions(spark, sf), _names(spark, sf)).select("qid", "entity")
 
 
-@query("e2_pattern_candidates")
+@query(
+    "e2_pattern_candidates",
+    f"""WITH {QUESTIONS}, f AS (SELECT qid, CASE qid % 4 WHEN 0 THEN [split_part(split_part(question, 'about ', 2), '?', 1)] WHEN 1 THEN ['a ' || qid, 'b' || qid] WHEN 2 THEN ['Ann', 'Bob', 'Ann', 'Bob', 'Ann'] ELSE ['homer'] END AS c FROM q)
+SELECT qid, (i - 1)::INT AS pos, c[i] AS candidate FROM (SELECT qid, c, unnest(range(1, len(c) + 1)) AS i FROM f)""",
+)
 def candidates(spark, sf):
-    return _questions(spark, sf).select("qid", F.posexplode(rt.pattern_candidates(F.col("question"))).alias("pos", "candidate"))
+    """Questions that ask about something, quote, ask for a relationship, and ask who someone is."""
+    q, qid = _questions(spark, sf), F.col("qid")
+    quoted = F.concat(F.lit('tell of "a '), qid, F.lit("\" or 'b"), qid, F.lit("'"))
+    form = F.when(qid % 4 == 0, F.col("question")).when(qid % 4 == 1, quoted).when(qid % 4 == 2, F.lit("the relationship between Ann and Bob")).otherwise(F.lit("who is homer"))
+    return q.select("qid", F.posexplode(rt.pattern_candidates(form)).alias("pos", "candidate"))
 
 
-@query("e1_question_entities")
+@query("e1_question_entities", f"WITH {QUESTIONS}, {NAMES}, {KNOWN} SELECT qid, r::INT AS rank, entity, 'known' AS source FROM (SELECT qid, entity, row_number() OVER (PARTITION BY qid ORDER BY length(entity), entity) AS r FROM kn) WHERE r <= 10")
 def question_entities(spark, sf):
+    """All that a candidate resolves to here is known already, and a known match comes first."""
     return rt.question_entities(_questions(spark, sf), _names(spark, sf))
 
 
@@ -124,23 +135,14 @@ def provenance(spark, sf):
     return context.provenance(pages, key_edges(spark, sf)).select("page_num", "source", F.size("kg_edges").alias("n"))
 
 
-@query("s12_page_texts", "SELECT doc_id::INT AS page_num, CASE WHEN length(text) > 10000 THEN left(text, 10000) || chr(10) || '... [' || (length(text) - 10000) || ' more characters]' ELSE text END AS text FROM documents WHERE doc_id BETWEEN 1 AND 900 UNION ALL SELECT 99999, '[Page 99999 not found]'")
+@query("s12_page_texts", "SELECT doc_id::INT AS page_num, CASE WHEN length(text) > 10000 THEN left(text, 10000) || chr(10) || '... [' || (length(text) - 10000) || ' more characters]' ELSE text END AS text FROM documents UNION ALL SELECT (SELECT max(doc_id) + 1 FROM documents)::INT, '[Page ' || (SELECT max(doc_id) + 1 FROM documents) || ' not found]'")
 def page_texts(spark, sf):
-    return _page_texts(spark, sf, "doc_id BETWEEN 1 AND 900")
-
-
-@query("s12_all_page_texts", "SELECT doc_id::INT AS page_num, CASE WHEN length(text) > 10000 THEN left(text, 10000) || chr(10) || '... [' || (length(text) - 10000) || ' more characters]' ELSE text END AS text FROM documents UNION ALL SELECT (SELECT max(doc_id) + 1 FROM documents)::INT, '[Page ' || (SELECT max(doc_id) + 1 FROM documents) || ' not found]'")
-def all_page_texts(spark, sf):
-    return _page_texts(spark, sf, None)
-
-
-def _page_texts(spark, sf, some):
     d = table(spark, sf, "documents")
     n = F.col("doc_id").cast("int")
     name = F.when(n % 3 == 0, F.format_string("page%03d.txt", n)).when(n % 3 == 1, F.format_string("page%04d.txt", n)).otherwise(F.format_string("page_%03d.txt", n))
     pages = d.select(F.concat(F.lit("/in/"), name).alias("source"), name.alias("page"), F.col("text").alias("content"))
-    missing = spark.createDataFrame([(99999,)], "page_num int") if some else d.agg((F.max("doc_id") + 1).cast("int").alias("page_num"))
-    wanted = (d.where(some) if some else d).select(n.alias("page_num")).unionByName(missing)
+    missing = d.agg((F.max("doc_id") + 1).cast("int").alias("page_num"))
+    wanted = d.select(n.alias("page_num")).unionByName(missing)
     return context.page_texts(wanted, pages, spark.createDataFrame([], "page_num int, source string"))
 
 
@@ -165,6 +167,12 @@ def timing(spark, sf):
     return m.select("l_orderkey", F.round(F.aggregate(F.map_values("t"), F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
 
 
-@query("s13_question_words", f"WITH {QUESTIONS} SELECT qid, length(question)::INT AS n FROM q")
+@query("s13_question_words", f"WITH {QUESTIONS} SELECT qid::INT AS id, CASE qid % 3 WHEN 0 THEN 'easy' ELSE 'hard' END AS difficulty, question, len(list_distinct(list_filter(string_split(lower(question), ' '), lambda w: length(w) > 2)))::INT AS n FROM q")
 def question_rows(spark, sf):
-    return _questions(spark, sf).select("qid", F.length("question").alias("n"))
+    """Questions written as a question file and read again."""
+    rows = _questions(spark, sf).select(F.struct(F.col("qid").cast("int").alias("id"), F.when(F.col("qid") % 3 == 0, "easy").otherwise("hard").alias("difficulty"), "question").alias("q"))
+    path = fresh_folder(spark) + "/questions"
+    # one question file; a nation a question
+    rows.agg(F.to_json(F.struct(F.array_sort(F.collect_list("q")).alias("test_questions"))).alias("value")).write.text(path)
+    read = files.read_questions(spark, path)
+    return read.select("id", "difficulty", "question", F.size(rt.query_words("question")).alias("n"))

@@ -49,7 +49,7 @@ PICK = "CASE WHEN trim(text) = '' OR greatest(technical, conversational, scienti
 
 @query("c2_type_scores", f"SELECT doc_id, {SCORES} FROM documents")
 def type_scores(spark, sf):
-    return _docs(spark, sf).select("doc_id", *[pt.DEFAULT.score(F.col("text"), t).alias(t) for t in TYPES])
+    return _docs(spark, sf).select("doc_id", pt.DEFAULT.scores(F.col("text")).alias("s")).select("doc_id", *[f"s.{t}" for t in TYPES])
 
 
 @query("c1_detect_type", f"SELECT doc_id, {PICK} AS type, greatest(technical, conversational, scientific, narrative) AS confidence FROM (SELECT doc_id, text, {SCORES} FROM documents)")
@@ -77,7 +77,7 @@ def histogram(spark, sf):
     return table(spark, sf, "conversations").select(pt.DEFAULT.detect(F.col("text"))["type"].alias("type")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("c5_matched_patterns")
+@query("c5_matched_patterns", f"SELECT doc_id, CASE WHEN fr > en AND fr > 0.1 THEN 'fr' ELSE 'en' END AS language, " + ", ".join(f"({_score_sql('text', t).split(' / ')[0]})::INT AS {t}" for t in TYPES) + f" FROM (SELECT doc_id, text, {_words_sql('en')} AS en, {_words_sql('fr')} AS fr FROM documents)")
 def matched(spark, sf):
     return _docs(spark, sf).select("doc_id", pt.language(F.col("text")).alias("language"), *[F.size(pt.DEFAULT.matched(F.col("text"), t)).alias(t) for t in TYPES])
 
@@ -87,9 +87,18 @@ def added(spark, sf):
     return _docs(spark, sf).select("doc_id", pt.DEFAULT.add("technical", r"\blicensed\b").score(F.col("text"), "technical").alias("technical"))
 
 
-@query("c6_model_classifier", "SELECT doc_id, 'unknown' AS doc_type FROM documents")
+@query("c6_model_classifier", "SELECT doc_id, CASE WHEN contains(left(text, 500), 'a') AND NOT contains(left(text, 500), '!') THEN 'technical' WHEN contains(left(text, 500), '!') THEN 'unknown' ELSE 'narrative' END AS doc_type FROM documents")
 def classified(spark, sf):
-    return plugins.classify(_docs(spark, sf).select("doc_id", "text")).select("doc_id", "doc_type")
+    """A model by rule: a bad word for texts that shout, else technical for those with an a, else narrative."""
+
+    def model():
+        def answer(prompts):
+            texts = [p.split("\n\n", 1)[1] for p in prompts]
+            return ["shouting" if "!" in t else "TYPE: technical" if "a" in t else "Narrative" for t in texts]
+
+        return answer
+
+    return plugins.classify(_docs(spark, sf).select("doc_id", "text"), model).select("doc_id", "doc_type")
 
 
 FOLD = "replace(lower({c}), 'ß', 'ss')"
@@ -150,11 +159,9 @@ def line_chunks(spark, sf):
     return _docs(spark, sf).select("doc_id", F.posexplode(tx.line_chunks("text")).alias("chunk_num", "content"))
 
 
-@query("s6_line_batches", "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), b AS (SELECT doc_id, l, unnest(range(0, ((len(l) - 1) // 50 + 1)::BIGINT)) AS b FROM l) SELECT doc_id, b::INT AS batch_idx, array_to_string(l[b * 50 + 1:b * 50 + 50], chr(10)) AS text FROM b")
+@query("s6_line_batches", r"WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS l FROM documents), b AS (SELECT doc_id, l, unnest(range(0, ((len(l) - 1) // 50 + 1)::BIGINT)) AS b FROM l) SELECT doc_id, b::INT AS batch_idx, array_to_string(l[b * 50 + 1:b * 50 + 50], chr(10)) AS text FROM b")
 def line_batches(spark, sf):
-    rows = _docs(spark, sf).withColumn("l", F.split("text", "\n"))
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / 50).cast("int")), lambda i: F.array_join(F.slice("l", i * 50 + 1, F.lit(50)), "\n"))
-    return rows.select("doc_id", F.posexplode(parts).alias("batch_idx", "text"))
+    return _docs(spark, sf).select("doc_id", F.posexplode(files.text_batches("text")).alias("batch_idx", "text"))
 
 
 @query("w1_page_numbers", "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_num FROM documents")
@@ -200,10 +207,23 @@ def pattern_triples(spark, sf):
     return triples.extract(files.page_batches(pages)).select("seq", "subject", "predicate", "object", "page_num")
 
 
-@query("x2_literal_triples", "SELECT s_name AS s, 'IS_A' AS p, 'ship owner' AS o, s_suppkey FROM (SELECT s_suppkey, 'Ann' AS s_name FROM supplier) UNION ALL SELECT 'Ann', 'RELATED_TO', 'Bob', s_suppkey FROM supplier UNION ALL SELECT 'Priam', 'RULES', 'Troy', s_suppkey FROM supplier")
+NAMED = "SELECT c_custkey, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS a, CASE c_custkey % 3 WHEN 0 THEN 'ship owner' WHEN 1 THEN 'dealer in wine' ELSE 'x' END AS b FROM customer"
+
+
+@query(
+    "x2_literal_triples",
+    f"""WITH c AS ({NAMED}) SELECT c_custkey, a AS s, 'IS_A' AS p, b AS o FROM c WHERE length(b) > 2 AND c_custkey % 2 = 0
+UNION ALL SELECT c_custkey, 'Priam', 'RULES', a FROM c WHERE c_custkey % 5 <> 0 UNION ALL SELECT c_custkey, a, 'RELATED_TO', 'Bob' FROM c WHERE c_custkey % 7 = 0 UNION ALL SELECT c_custkey, 'Bob', 'RELATED_TO', a FROM c WHERE c_custkey % 7 = 0""",
+)
 def literal_triples(spark, sf):
-    s = table(spark, sf, "supplier").withColumn("t", F.lit("Ann is a ship owner. Priam, king of Troy. Ann and Bob"))
-    return s.select("s_suppkey", F.inline(triples.pattern_triples(F.col("t"))))
+    """Sentences with a copula, a title and conjunctions, each in some rows only, and with objects too short to keep."""
+    k, a = F.col("c_custkey"), F.initcap(F.lower("c_mktsegment"))
+    b = F.when(k % 3 == 0, "ship owner").when(k % 3 == 1, "dealer in wine").otherwise("x")
+    copula = F.when(k % 2 == 0, F.concat(a, F.lit(" is a "), b, F.lit("."))).otherwise(F.lit(""))
+    title = F.when(k % 5 != 0, F.concat(F.lit(" Priam, king of "), a, F.lit("."))).otherwise(F.lit(""))
+    both = F.when(k % 7 == 0, F.concat(F.lit(" "), a, F.lit(" and Bob. Bob et "), a)).otherwise(F.lit(""))
+    rows = table(spark, sf, "customer").select(k, F.concat(copula, title, both).alias("t"))
+    return rows.select("c_custkey", F.inline(triples.pattern_triples(F.col("t"))))
 
 
 @query("x3_parse_answers", "SELECT n_nationkey, n_name AS s, 'PART_OF' AS p, 'R' || n_regionkey AS o FROM nation")
@@ -232,9 +252,15 @@ def document_type(spark, sf):
     return o.select("o_orderkey", tx.document_type(F.when(F.col("o_orderkey") % 3 == 0, " SCIENTIFIC ").when(F.col("o_orderkey") % 3 == 1, "Narrative").otherwise("poem")).alias("type"))
 
 
-@query("f16_example_predicates", "SELECT * FROM (VALUES ('technical', 6), ('narrative', 6), ('conversational', 5), ('scientific', 6), ('unknown', 4), ('poem', 4)) v(kind, n)")
+EXAMPLES_SQL = "(VALUES ('technical', ['IS_A', 'PART_OF', 'CAUSES', 'REQUIRES', 'CONTAINS', 'USED_FOR']), ('narrative', ['FATHER_OF', 'LOVES', 'FIGHTS', 'JOURNEYS_TO', 'SAVES', 'BETRAYS']), ('conversational', ['DISCUSSES', 'DECIDES', 'ASSIGNED_TO', 'PROPOSES', 'AGREES_TO']), ('scientific', ['HYPOTHESIZES', 'PROVES', 'CITES', 'FINDS', 'USES_METHOD', 'CORRELATES_WITH']), ('unknown', ['RELATES_TO', 'CONNECTED_TO', 'HAS', 'IS_A']))"
+
+
+@query("f16_example_predicates", f"SELECT conv_id, turn, type, array_to_string(l, ' ') AS examples FROM (SELECT conv_id, turn, {PICK} AS type FROM (SELECT conv_id, turn, text, {SCORES} FROM conversations)) JOIN {EXAMPLES_SQL} v(kind, l) ON kind = type")
 def examples(spark, sf):
-    return spark.createDataFrame([(k, len(plugins.relationship_examples(k))) for k in (*TYPES, "unknown", "poem")], "kind string, n int")
+    """The example predicates of each turn's type."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", pt.DEFAULT.detect(F.col("text"))["type"].alias("type"))
+    known = F.create_map(*[x for k in (*TYPES, "unknown") for x in (F.lit(k), F.lit(" ".join(plugins.relationship_examples(k))))])
+    return rows.withColumn("examples", F.element_at(known, F.col("type")))
 
 
 @query("f18_node_id", "SELECT n_name || '__page' || n_regionkey AS node_id FROM nation")

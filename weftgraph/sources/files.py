@@ -54,10 +54,10 @@ def batches(chunked: DataFrame, n: int = 4) -> DataFrame:
 
 def page_batches(pages: DataFrame, size: int = 500, overlap: int = 50, n: int = 4) -> DataFrame:
     """The same from pages, without a shuffle: a page's chunks are in its row already."""
-    return pages.select("page_num", "page", "source", F.posexplode(let(chunks("content", size, overlap), lambda c: _slices(c, n, "\n\n"))).alias("batch_idx", "text"))
+    return pages.select("page_num", "page", "source", F.posexplode(let(chunks("content", size, overlap), lambda c: joined(c, n, "\n\n"))).alias("batch_idx", "text"))
 
 
-def _slices(items: Column, n: int, mark: str) -> Column:
+def joined(items: Column, n: int, mark: str) -> Column:
     """Each ``n`` strings of an array joined; none for an empty array."""
     places = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.floor((F.size(items) - 1) / n).cast("int"))).otherwise(F.array().cast("array<int>"))
     return F.transform(places, lambda i: F.array_join(F.slice(items, i * n + 1, F.lit(n)), mark))
@@ -65,7 +65,7 @@ def _slices(items: Column, n: int, mark: str) -> Column:
 
 def text_batches(c: Column | str, n: int = 50) -> Column:
     """Each ``n`` lines of a text, the tail too, joined again."""
-    return let(F.split(F.regexp_replace(col(c), r"\n\z", ""), "\n"), lambda x: _slices(x, n, "\n"))
+    return let(F.split(F.regexp_replace(col(c), r"\n\z", ""), "\n"), lambda x: joined(x, n, "\n"))
 
 
 def line_batches(spark: SparkSession, path: str, n: int = 50) -> DataFrame:

@@ -9,6 +9,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import write_text
+
 _TOKEN = re.compile(r'"([^"]*)"|\[|\]|[^\s\[\]"]+')
 NODES = "entity string, pages array<int>"
 EDGES = "src string, dst string, relation string, page_num int, source_page string, subject_original string, object_original string, first_seq long, last_seq long"
@@ -88,6 +90,5 @@ def gml_lines(nodes: DataFrame, edges: DataFrame):
 
 
 def write_gml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        for line in gml_lines(nodes, edges):
-            f.write(line + "\n")
+    """Writes the export as one file to any store that Spark reaches."""
+    write_text(nodes.sparkSession, path, (line + "\n" for line in gml_lines(nodes, edges)))

@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 TABLES = ("pages", "chunks", "triples", "nodes", "edges", "resolver_map", "entity_freq")
 
 
+def write_text(spark: SparkSession, path: str, parts) -> None:
+    """One UTF-8 file on any store that Spark reaches, from strings one after the other."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        for part in parts:
+            out.write(bytearray(part.encode("utf-8")))
+    finally:
+        out.close()
+
+
 class Store:
     """Reads and writes a collection below ``root``; any store that Spark reaches."""
 
@@ -53,8 +64,7 @@ class Store:
         maps = self.read("resolver_map")
         state = {kind: {r["norm"]: r["canonical"] for r in maps.where(F.col("kind") == kind).toLocalIterator()} for kind in ("canonical_map", "aliases")}
         state["entity_frequency"] = {r["canonical"]: r["n"] for r in self.read("entity_freq").toLocalIterator()}
-        with open(path, "w", encoding="utf-8") as f:
-            json.dump(state, f, ensure_ascii=False, indent=1)
+        write_text(self.spark, path, [json.dumps(state, ensure_ascii=False, indent=1)])
 
 
 def read_resolver(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, triples
-from ..sources.files import page_batches
+from ..operators import graph, resolve, triples
+from ..sources.files import joined, page_batches
 from ..sources.store import Store
 
 
@@ -22,22 +22,36 @@ def line_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.format("text").load(path).select(F.col("_metadata.file_path").alias("source"), "value")
 
 
-def upsert_pages(store: Store, doc_type: str = "narrative", add_inverse: bool = True, progress: Callable[[int], None] | None = None):
-    """A ``foreachBatch`` function that merges a batch of pages into the collection's edges and nodes.
+def upsert_pages(store: Store, doc_type: str | None = None, add_inverse: bool = True, dedup: str = "light", progress: Callable[[int], None] | None = None):
+    """A ``foreachBatch`` function that merges a batch of pages into the collection's edges, with entities resolved.
 
-    A batch writes a new version beside the old and then names it current; running it again writes the same version.
+    State goes from batch to batch in two tables: the edges under the names as they came, and the first spelling of each
+    normal form. A batch writes new versions beside the old; running it again writes the same versions. The edges under
+    canonical names follow from both, so that a longer spelling renames what earlier batches brought.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         pages = batch.select("source", "content", F.element_at(F.split("source", "/"), -1).alias("page"))
         pages = pages.withColumn("page_num", F.greatest(F.lit(1), F.coalesce(F.try_to_number(F.regexp_extract("page", r"(\d+)", 1), F.lit("999999999")).cast("int"), F.lit(1))))
-        found = triples.extract(page_batches(pages))
-        found = triples.with_inverses(found, doc_type) if add_inverse else found
+        found = triples.extract(triples.typed(page_batches(pages), doc_type))
+        found = triples.with_inverses(found, F.col("doc_type")) if add_inverse else found
         found = found.withColumn("seq", F.col("seq") + F.lit(batch_id) * F.lit(1 << 52)).withColumnRenamed("page", "source_page")
-        new = graph.upsert(found)
-        name, old = f"edges/v{batch_id}", f"edges/v{batch_id - 1}"
-        edges = graph.merge(store.read(old), new) if batch_id and store.exists(old) else new
-        store.write(name, edges)
+
+        def carried(name: str, new: DataFrame, merge) -> DataFrame:
+            own, old = f"{name}/v{batch_id}", f"{name}/v{batch_id - 1}"
+            store.write(own, merge(store.read(old), new) if batch_id and store.exists(old) else new)
+            return store.read(own)
+
+        raw = carried("raw_edges", graph.upsert(found), graph.merge)
+        if dedup == "none":
+            store.write(f"edges/v{batch_id}", raw)
+        else:
+            ends = found.select((F.col("seq") * 2).alias("seq"), F.col("subject").alias("mention")).unionByName(found.select((F.col("seq") * 2 + 1).alias("seq"), F.col("object").alias("mention")))
+            forms = carried("forms", resolve.first_forms(ends), resolve.merge_forms)
+            resolved = resolve.resolve_forms(forms, dedup)
+            store.write(f"resolver_map/v{batch_id}", resolved.withColumn("kind", F.lit("canonical_map")))
+            renamed = resolve.named(raw, store.read(f"resolver_map/v{batch_id}"), ("src", "dst"))
+            store.write(f"edges/v{batch_id}", graph.merge(renamed, renamed.limit(0)))
         if progress:
             progress(batch_id)
 
@@ -53,8 +67,7 @@ def line_batches(lines: DataFrame, n: int = 50) -> DataFrame:
     """Lines of a micro-batch -> (source, batch_idx, text): each ``n`` lines of a file in their order."""
     ordered = lines.withColumn("i", F.monotonically_increasing_id())
     per_file = ordered.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"]).alias("l"))
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / n).cast("int")), lambda i: F.array_join(F.slice("l", i * n + 1, F.lit(n)), "\n"))
-    return per_file.select("source", F.posexplode(parts).alias("batch_idx", "text"))
+    return per_file.select("source", F.posexplode(joined(F.col("l"), n, "\n")).alias("batch_idx", "text"))
 
 
 def canonical_stream(mentions: DataFrame) -> DataFrame:

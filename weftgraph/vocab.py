@@ -3,55 +3,111 @@
 from __future__ import annotations
 
 # Honorifics that a base form drops.
-TITLES = (
-    "king queen prince princess lord lady sir dame duke duchess count countess baron baroness earl mr mrs ms miss dr prof "
-    "captain lieutenant general admiral father brother sister saint goddess god"
-).split()
+TITLES = [
+    "king", "queen", "prince", "princess", "lord", "lady", "sir", "dame", "duke", "duchess", "count", "countess", "baron", "baroness", "earl", "mr",
+    "mrs", "ms", "miss", "dr", "prof", "captain", "lieutenant", "general", "admiral", "father", "brother", "sister", "saint", "goddess", "god",
+]
 
 # Leading articles that a normal form drops.
-ARTICLES = "the a an le la les un une".split()
+ARTICLES = ["the", "a", "an", "le", "la", "les", "un", "une"]
 
 # Words that are never entities, and vague words that the strict rule rejects too.
-PRONOUNS = "he she it they we you i me him her them us".split()
-GENERIC = "speaker person someone something thing place time way".split()
+PRONOUNS = ["he", "she", "it", "they", "we", "you", "i", "me", "him", "her", "them", "us"]
+GENERIC = ["speaker", "person", "someone", "something", "thing", "place", "time", "way"]
 
 # Document types in the order that breaks ties between scores.
 TYPES = ("technical", "conversational", "scientific", "narrative")
 UNKNOWN = "unknown"
 
 # Inverse predicates by document type, and those of every type ("").
-INVERSES: dict[str, str] = {
-    "narrative": (
-        "FATHER_OF=CHILD_OF MOTHER_OF=CHILD_OF CHILD_OF=PARENT_OF PARENT_OF=CHILD_OF SIBLING_OF=SIBLING_OF MARRIED_TO=MARRIED_TO HELPS=HELPED_BY FIGHTS=FIGHTS "
-        "SAVES=SAVED_BY BETRAYS=BETRAYED_BY LOVES=LOVED_BY HATES=HATED_BY LIVES_IN=HOME_OF TRAVELS_TO=VISITED_BY RULES=RULED_BY BORN_IN=BIRTHPLACE_OF "
-        "CAUSES=CAUSED_BY LEADS_TO=RESULT_OF"
-    ),
-    "technical": (
-        "PART_OF=CONTAINS CONTAINS=PART_OF BELONGS_TO=HAS_MEMBER COMPONENT_OF=HAS_COMPONENT IS_A=EXAMPLE_OF IS_TYPE_OF=HAS_TYPE CAUSES=CAUSED_BY ENABLES=ENABLED_BY "
-        "REQUIRES=REQUIRED_BY DEPENDS_ON=DEPENDENCY_OF PREVENTS=PREVENTED_BY FOLLOWS=PRECEDES PRECEDES=FOLLOWS USED_FOR=USES USED_BY=USES"
-    ),
-    "conversational": (
-        "DISCUSSES=DISCUSSED_BY MENTIONS=MENTIONED_BY PROPOSES=PROPOSED_BY DECIDES=DECIDED_BY ASSIGNED_TO=ASSIGNED_BY RESPONSIBLE_FOR=RESPONSIBILITY_OF "
-        "RESPONDS_TO=RESPONSE_FROM REFERS_TO=REFERENCED_BY"
-    ),
-    "scientific": (
-        "PROVES=PROVEN_BY DISPROVES=DISPROVEN_BY HYPOTHESIZES=HYPOTHESIS_OF CONCLUDES=CONCLUSION_OF USES_METHOD=METHOD_USED_BY ANALYZES=ANALYZED_BY FINDS=FOUND_BY "
-        "DISCOVERS=DISCOVERED_BY SHOWS=SHOWN_BY CITES=CITED_BY SUPPORTS=SUPPORTED_BY CONTRADICTS=CONTRADICTED_BY EXTENDS=EXTENDED_BY"
-    ),
-    "unknown": "RELATES_TO=RELATES_TO CONNECTED_TO=CONNECTED_TO",
-    "": (
-        "RELATED_TO=RELATED_TO SIMILAR_TO=SIMILAR_TO DIFFERENT_FROM=DIFFERENT_FROM CONNECTED_TO=CONNECTED_TO ASSOCIATED_WITH=ASSOCIATED_WITH HAS=BELONGS_TO "
-        "OWNS=OWNED_BY CREATES=CREATED_BY PRODUCES=PRODUCED_BY CAUSES=CAUSED_BY"
-    ),
+INVERSES: dict[str, dict[str, str]] = {
+    "narrative": {
+        "FATHER_OF": "CHILD_OF",
+        "MOTHER_OF": "CHILD_OF",
+        "CHILD_OF": "PARENT_OF",
+        "PARENT_OF": "CHILD_OF",
+        "SIBLING_OF": "SIBLING_OF",
+        "MARRIED_TO": "MARRIED_TO",
+        "HELPS": "HELPED_BY",
+        "FIGHTS": "FIGHTS",
+        "SAVES": "SAVED_BY",
+        "BETRAYS": "BETRAYED_BY",
+        "LOVES": "LOVED_BY",
+        "HATES": "HATED_BY",
+        "LIVES_IN": "HOME_OF",
+        "TRAVELS_TO": "VISITED_BY",
+        "RULES": "RULED_BY",
+        "BORN_IN": "BIRTHPLACE_OF",
+        "CAUSES": "CAUSED_BY",
+        "LEADS_TO": "RESULT_OF",
+    },
+    "technical": {
+        "PART_OF": "CONTAINS",
+        "CONTAINS": "PART_OF",
+        "BELONGS_TO": "HAS_MEMBER",
+        "COMPONENT_OF": "HAS_COMPONENT",
+        "IS_A": "EXAMPLE_OF",
+        "IS_TYPE_OF": "HAS_TYPE",
+        "CAUSES": "CAUSED_BY",
+        "ENABLES": "ENABLED_BY",
+        "REQUIRES": "REQUIRED_BY",
+        "DEPENDS_ON": "DEPENDENCY_OF",
+        "PREVENTS": "PREVENTED_BY",
+        "FOLLOWS": "PRECEDES",
+        "PRECEDES": "FOLLOWS",
+        "USED_FOR": "USES",
+        "USED_BY": "USES",
+    },
+    "conversational": {
+        "DISCUSSES": "DISCUSSED_BY",
+        "MENTIONS": "MENTIONED_BY",
+        "PROPOSES": "PROPOSED_BY",
+        "DECIDES": "DECIDED_BY",
+        "ASSIGNED_TO": "ASSIGNED_BY",
+        "RESPONSIBLE_FOR": "RESPONSIBILITY_OF",
+        "RESPONDS_TO": "RESPONSE_FROM",
+        "REFERS_TO": "REFERENCED_BY",
+    },
+    "scientific": {
+        "PROVES": "PROVEN_BY",
+        "DISPROVES": "DISPROVEN_BY",
+        "HYPOTHESIZES": "HYPOTHESIS_OF",
+        "CONCLUDES": "CONCLUSION_OF",
+        "USES_METHOD": "METHOD_USED_BY",
+        "ANALYZES": "ANALYZED_BY",
+        "FINDS": "FOUND_BY",
+        "DISCOVERS": "DISCOVERED_BY",
+        "SHOWS": "SHOWN_BY",
+        "CITES": "CITED_BY",
+        "SUPPORTS": "SUPPORTED_BY",
+        "CONTRADICTS": "CONTRADICTED_BY",
+        "EXTENDS": "EXTENDED_BY",
+    },
+    "unknown": {
+        "RELATES_TO": "RELATES_TO",
+        "CONNECTED_TO": "CONNECTED_TO",
+    },
+    "": {
+        "RELATED_TO": "RELATED_TO",
+        "SIMILAR_TO": "SIMILAR_TO",
+        "DIFFERENT_FROM": "DIFFERENT_FROM",
+        "CONNECTED_TO": "CONNECTED_TO",
+        "ASSOCIATED_WITH": "ASSOCIATED_WITH",
+        "HAS": "BELONGS_TO",
+        "OWNS": "OWNED_BY",
+        "CREATES": "CREATED_BY",
+        "PRODUCES": "PRODUCED_BY",
+        "CAUSES": "CAUSED_BY",
+    },
 }
 
 # Example predicates by document type.
 EXAMPLES: dict[str, list[str]] = {
-    "narrative": "FATHER_OF LOVES FIGHTS JOURNEYS_TO SAVES BETRAYS".split(),
-    "technical": "IS_A PART_OF CAUSES REQUIRES CONTAINS USED_FOR".split(),
-    "conversational": "DISCUSSES DECIDES ASSIGNED_TO PROPOSES AGREES_TO".split(),
-    "scientific": "HYPOTHESIZES PROVES CITES FINDS USES_METHOD CORRELATES_WITH".split(),
-    "unknown": "RELATES_TO CONNECTED_TO HAS IS_A".split(),
+    "narrative": ["FATHER_OF", "LOVES", "FIGHTS", "JOURNEYS_TO", "SAVES", "BETRAYS"],
+    "technical": ["IS_A", "PART_OF", "CAUSES", "REQUIRES", "CONTAINS", "USED_FOR"],
+    "conversational": ["DISCUSSES", "DECIDES", "ASSIGNED_TO", "PROPOSES", "AGREES_TO"],
+    "scientific": ["HYPOTHESIZES", "PROVES", "CITES", "FINDS", "USES_METHOD", "CORRELATES_WITH"],
+    "unknown": ["RELATES_TO", "CONNECTED_TO", "HAS", "IS_A"],
 }
 
 # Type patterns by language; the score of a type is the share of its patterns that a text has.
@@ -138,9 +194,12 @@ PATTERNS: dict[str, dict[str, list[str]]] = {
 }
 
 # Words whose presence tells the language.
-LANGUAGE_WORDS = {"en": "the and of to in is was for that with".split(), "fr": "le la les de du et est pour que avec un une dans à des".split()}
+LANGUAGE_WORDS = {
+    "en": ["the", "and", "of", "to", "in", "is", "was", "for", "that", "with"],
+    "fr": ["le", "la", "les", "de", "du", "et", "est", "pour", "que", "avec", "un", "une", "dans", "à", "des"],
+}
 
 
 def inverse_pairs() -> list[tuple[str, str, str]]:
     """(document type or "", predicate, inverse) rows."""
-    return [(kind, *pair.split("=")) for kind, pairs in INVERSES.items() for pair in pairs.split()]
+    return [(kind, predicate, inverse) for kind, pairs in INVERSES.items() for predicate, inverse in pairs.items()]
