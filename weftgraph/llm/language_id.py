@@ -168,7 +168,7 @@ def sample(spark: SparkSession, docs: DataFrame, most: int = ROWS_A_LANGUAGE, to
     sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("least")).collect()
     quota = max(1, min(most, total // max(1, len(sizes))))
     cut = [(r["lang"], max(r["least"], min((1 << 63) - 1, -(1 << 63) + (quota << 64) // r["n"]))) for r in sizes]
-    bounds = spark.createDataFrame(cut, "lang string, bound long")
+    bounds = F.broadcast(spark.createDataFrame(cut, "lang string, bound long"))  # a row a language; the model has 128 KB of each
     chosen = usable.join(bounds, "lang").where("hash <= bound")
     return chosen.groupBy("lang", "hash").agg(F.min("text").alias("text"))
 
