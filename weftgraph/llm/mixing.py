@@ -127,7 +127,8 @@ def mixed(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None
     counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("source")).collect()  # one row a source
     lanes = {r["source"]: i for i, r in enumerate(counts)}  # every source has its own, the largest first
     table = spark.createDataFrame([(k, i) for k, i in lanes.items()], "name string, lane int") if lanes else spark.createDataFrame([], "name string, lane int")
-    rows = rows.join(table, F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "source", "h", "lane")
+    # one row a source, which has a block at least, of 24 bytes, in the schedule that workers are sent
+    rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "source", "h", "lane")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     keyed = rows.withColumn("o", F.xxhash64(F.col("doc_id"), F.lit(SEED)))
     ordered = keyed.repartitionByRange(n, "lane", "o", "doc_id", "h").sortWithinPartitions("lane", "o", "doc_id", "h")
