@@ -227,13 +227,22 @@ class Resolver:
 def resolve_sequential(mentions: DataFrame, mode: str = "light", threshold: float = FUZZY) -> DataFrame:
     """(mention, seq) -> (mention, seq, canonical) in the order of ``seq``.
 
-    Only the first of each normal form can change the registry, so only those go, in order, through one resolver; it
-    hands on when each form's name changed, and every mention takes the name that held when it came.
+    Only the first of each normal form can change the registry, so only those go, in order, through a resolver; it hands
+    on when each form's name changed, and every mention takes the name that held when it came. Forms that can never meet
+    have a resolver each: in ``light`` mode those of another first word, else those that no chain of titles and similar
+    spellings links.
     """
     keyed = mentions.withColumn("norm", normalize_entity("mention"))
     if mode == "none":
         return keyed.select("mention", "seq", F.col("mention").alias("canonical"))
-    first = keyed.groupBy("norm").agg(F.min_by("mention", "seq").alias("mention"), F.min("seq").alias("seq")).withColumn("one", F.lit(1))
+    forms = first_forms(mentions)
+    first = forms.select("norm", F.col("form").alias("mention"), F.col("first_seq").alias("seq"))
+    if mode == "light":
+        first = first.withColumn("part", F.split("norm", " ")[0])
+    else:
+        links = title_links(forms).unionByName(fuzzy_links(forms, threshold).select("norm", "longer"))
+        parts = components(links.select(F.col("norm").alias("src"), F.col("longer").alias("dst"))).select(F.col("entity").alias("norm"), "component")
+        first = first.join(parts, "norm", "left").withColumn("part", F.coalesce("component", "norm")).drop("component")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         r, rows, last = Resolver(mode, threshold), [], {}
@@ -246,7 +255,7 @@ def resolve_sequential(mentions: DataFrame, mode: str = "light", threshold: floa
                     last[n] = c
         return pd.DataFrame(rows, columns=["norm", "canonical", "valid_from"])
 
-    versions = first.groupBy("one").applyInPandas(run, "norm string, canonical string, valid_from long")
+    versions = first.groupBy("part").applyInPandas(run, "norm string, canonical string, valid_from long")
     both = keyed.select("norm", "seq", F.lit(1).alias("k"), "mention", F.lit(None).cast("string").alias("canonical")).unionByName(versions.select("norm", F.col("valid_from").alias("seq"), F.lit(0).alias("k"), F.lit(None).cast("string").alias("mention"), "canonical"))
     w = W.partitionBy("norm").orderBy("seq", "k").rowsBetween(W.unboundedPreceding, W.currentRow)
     return both.withColumn("canonical", F.last("canonical", True).over(w)).where("k = 1").select("mention", "seq", F.coalesce("canonical", "mention").alias("canonical"))
