@@ -184,5 +184,6 @@ def mix(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     where = mixed(spark, docs, **options).groupBy(F.col("h").alias("at")).agg(F.min("position").alias("position"))
     rows = workspace.packed(docs).withColumn("h", F.xxhash64(F.col("r.doc_id").cast("long"), F.col("r.text")))
     n = workspace.partitions(spark, docs)
-    joined = rows.join(where, F.col("h") == F.col("at")).select("r", "position")
+    # merged at every size: the places grow with the corpus, and a small table must not change the plan
+    joined = rows.hint("merge").join(where, F.col("h") == F.col("at")).select("r", "position")
     return joined.repartitionByRange(n, "position").sortWithinPartitions("position").select("r.*")
