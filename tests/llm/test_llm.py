@@ -469,6 +469,27 @@ def test_op9_counts_with_an_empty_block(spark):
     assert [got[i] for i in range(len(texts))] == brute_links(texts)
 
 
+def test_op9_measured_recall():
+    """Pairs just over the threshold that share a band, of all such pairs."""
+    draw, rng = random.Random(27), np.random.default_rng(ngram_join.SEED)
+    n, rows = ngram_join.bands()
+    a = rng.integers(0, 1 << 63, n * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    b = rng.integers(0, 1 << 63, n * rows, dtype=np.uint64)
+    near = met = 0
+    while near < 2000:
+        words = [f"v{draw.randint(0, 10**6)}" for _ in range(200)]
+        other = list(words)
+        for i in draw.sample(range(200), draw.randint(2, 5)):
+            other[i] = f"n{draw.randint(0, 10**6)}"
+        x, y = (ngram_join.shingles(" ".join(w)) for w in (words, other))
+        common = len(np.intersect1d(x, y))
+        if 0.8 <= common / (len(x) + len(y) - common) < 0.86:
+            near += 1
+            p, q = (ngram_join._signature(s, a, b).reshape(n, rows) for s in (x, y))
+            met += bool((p == q).all(axis=1).any())
+    assert met >= 0.998 * near, met
+
+
 def test_op9_bands_reach_the_recall():
     n, rows = ngram_join.bands()
     assert 1 - (1 - ngram_join.THRESHOLD**rows) ** n >= ngram_join.RECALL and n * rows <= ngram_join.HASHES
