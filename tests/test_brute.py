@@ -108,6 +108,14 @@ def test_patterns_equal_their_documented_forms(spark):
         assert [tuple(x) for x in r["f"]] == found(texts[r["i"]]), texts[r["i"]]
 
 
+def test_patterns_take_a_run_of_any_length(spark):
+    words = " ".join(["word"] * 40_000)
+    texts = [f"{words} is a {words}", f"I is {words}", f"{words}\n{words}", f"x was {words} est la reine {words}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", triples.pattern_triples(F.col("t")).alias("f"))
+    got = {r["i"]: [tuple(x) for x in r["f"]] for r in df.collect()}
+    assert got == {0: [(words, "IS_A", words)], 1: [], 2: [], 3: [(f"was {words}", "IS_A", f"reine {words}")]}
+
+
 def sentence_batches(text, size=500, overlap=50, n=4):
     cur, out = "", []
     for s in re.split(r"(?<=[.!?])\s+", text.strip()):

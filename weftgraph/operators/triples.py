@@ -11,10 +11,13 @@ from ..vocab import inverse_pairs
 
 TRIPLE = "array<struct<s:string,p:string,o:string>>"
 
-# What pattern extraction looks for. The copula pattern is an unambiguous form of "X is a Y".
-COPULA = r"(?iuU)([A-ZÀ-Ý][a-zà-ÿ]+(?:\s+[a-zà-ÿ]+)*)\s+(?:is|est|was|était)\s+(?:a|an|un|une|the|le|la)?\s*([a-zà-ÿ]+(?:\s+[a-zà-ÿ]+)*)"
+# What pattern extraction looks for. A run of words is cut at its last verb; what is before it, from the
+# first letter that can begin a name, "is a" the words after it. Repeated groups are possessive: Java's stack holds each
+# repetition of other ones, and a text of one run has 20,000 words.
+COPULA = r"(?isuU)\A(.*\S)\s+(?:is|est|was|était)\s+(?:a|an|un|une|the|le|la)?\s*([a-zà-ÿ]+(?:\s+[a-zà-ÿ]+)*+)"
+COPULA_NAME = r"(?iuU)[A-ZÀ-Ý][a-zà-ÿ][a-zà-ÿ\s]*"
 COPULA_HINT = r"(?iuU)\s(?:is|est|was|était)\s"
-RUN = r"(?iuU)[a-zà-ÿ]+(?:\s+[a-zà-ÿ]+)*"
+RUN = r"(?iuU)[a-zà-ÿ]+(?:\s+[a-zà-ÿ]+)*+"
 TITLE_HINT = r"(?iuU)\s(?:king|queen|prince|goddess|god|roi|reine|prince|déesse|dieu)\s+(?:of|de|du|des)\s"
 AND_HINT = r"\s(?:and|et)\s+[A-ZÀ-Ý]"
 TITLE = r"(?iuU)([A-ZÀ-Ý][a-zà-ÿ]+),?\s+(?:king|queen|prince|goddess|god|roi|reine|prince|déesse|dieu)\s+(?:of|de|du|des)\s+([A-ZÀ-Ý][a-zà-ÿ]+)"
@@ -48,9 +51,9 @@ def pattern_triples(text: Column) -> Column:
     none = F.array().cast("array<struct<g0:string,g1:string>>")
     # a copula's match fills the rest of a run of words, so that a run has one at most, and runs without its verb have none
     runs = F.filter(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda r: F.rlike(r, F.lit(COPULA_HINT)))
-    pairs = F.transform(runs, lambda r: F.struct(strip(F.regexp_extract(r, COPULA, 1)).alias("g0"), strip(F.regexp_extract(r, COPULA, 2)).alias("g1")))
+    pairs = F.transform(runs, lambda r: F.struct(strip(F.regexp_extract(F.regexp_extract(r, COPULA, 1), COPULA_NAME, 0)).alias("g0"), strip(F.regexp_extract(r, COPULA, 2)).alias("g1")))
     long = lambda m: (F.length(m["g0"]) > 2) & (F.length(m["g1"]) > 2)
-    copula = F.when(F.rlike(text, F.lit(COPULA_HINT)), F.filter(F.slice(F.filter(pairs, lambda m: m["g1"] != ""), 1, 3), long)).otherwise(none)
+    copula = F.when(F.rlike(text, F.lit(COPULA_HINT)), F.filter(F.slice(F.filter(pairs, lambda m: (m["g0"] != "") & (m["g1"] != "")), 1, 3), long)).otherwise(none)
     title = F.when(F.rlike(text, F.lit(TITLE_HINT)), _groups(text, TITLE, 2, 3)).otherwise(none)
     both = F.when(F.rlike(text, F.lit(AND_HINT)), F.filter(_groups(text, AND, 2, 2), long)).otherwise(none)
 
