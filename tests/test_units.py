@@ -325,6 +325,33 @@ def test_communities_at_every_size(spark):
         assert {r["entity"]: r["community"] for r in got} == want and {r["algo"] for r in got} == {"greedy modularity"}
 
 
+def test_communities_of_hubs_take_few_steps(monkeypatch):
+    steps, push = [], components.heapq.heappush
+
+    def counted(heap, x):
+        steps.append(1)
+        assert len(steps) < 500_000
+        push(heap, x)
+
+    monkeypatch.setattr(components.heapq, "heappush", counted)
+    stars = {h: [h, *(f"{h}{i:05}" for i in range(5000))] for h in "abcd"}
+    pairs = [(h, x) for h, s in stars.items() for x in s[1:]] + [(h, "top") for h in stars]
+    found = components._greedy(sorted({x for p in pairs for x in p}), sorted(pairs))
+    # the first star by name joins the top as soon as that raises modularity more than a leaf does; none joins another
+    assert sorted(found) == sorted([sorted([*stars["a"], "top"])] + [stars[h] for h in "bcd"])
+
+
+def test_communities_of_random_graphs():
+    rng = random.Random(8)
+    for _ in range(300):
+        n = rng.randint(2, 25)
+        pairs = {tuple(sorted((f"n{rng.randrange(n):02}", f"n{rng.randrange(1 + n // rng.randint(1, 6)):02}"))) for _ in range(rng.randint(1, 40))}
+        pairs = sorted(p for p in pairs if p[0] != p[1])
+        if pairs:
+            found = components._greedy(sorted({x for p in pairs for x in p}), pairs)
+            assert sorted(found) == sorted(brute_communities(pairs))
+
+
 def test_whole_graph_queries_equal_brute_force(spark):
     from weftgraph.plans import registry
     from weftgraph.plans.kg import key_edges

@@ -19,7 +19,7 @@ CELLS = 1 << 20
 
 def components(edges: DataFrame) -> DataFrame:
     """(entity, component): weakly connected components named by their least entity, by label propagation with checkpoints."""
-    around = undirected(edges)
+    around = settle(undirected(edges))  # each round reads it
     labels = around.groupBy(F.col("node").alias("entity")).agg(F.min("other").alias("m")).select("entity", F.least("entity", "m").alias("component"))
     labels = settle(labels)
     while True:
@@ -38,12 +38,15 @@ def _greedy(nodes: list[str], pairs: list[tuple[str, str]], total: int | None =
     """Communities by merging, again and again, the two that raise modularity most; ties go to the first by name.
 
     ``total``: edges of the whole graph, when these are only some of its components. Gains are whole numbers, times
-    2 m^2. A merge only lowers gains but where both had a link, so a gain in the queue is the true one or too high.
+    2 m^2. A pair of linked communities is kept at one of them, the larger by degree as it is put there, in a heap for each
+    weight by the other's degree and name. So a merge into a hub leaves the pairs at it as they are: the best of each
+    heap is the best at any degree of the hub. What a pair or the queue says of a community is true or too good, as
+    degrees only grow and a grown weight puts the pair anew; it is put right when it comes first.
     """
     index = {n: i for i, n in enumerate(nodes)}
     weight: list[dict[int, int]] = [{} for _ in nodes]
     m = total or len(pairs)
-    degree, least, members = [0] * len(nodes), list(range(len(nodes))), [[n] for n in nodes]
+    degree, least, members = [0] * len(nodes), list(range(len(nodes))), [[i] for i in range(len(nodes))]
     for a, b in pairs:
         i, j = index[a], index[b]
         degree[i] += 1
@@ -51,44 +54,74 @@ def _greedy(nodes: list[str], pairs: list[tuple[str, str]], total: int | None =
         if i != j:
             weight[i][j] = weight[i].get(j, 0) + 1
             weight[j][i] = weight[j].get(i, 0) + 1
-    into = list(range(len(nodes)))
-
-    def root(i: int) -> int:
-        while into[i] != i:
-            into[i] = i = into[into[i]]
-        return i
-
-    def entry(i: int, j: int) -> tuple[int, int, int, int, int]:
-        x, y = sorted((least[i], least[j]))
-        return degree[i] * degree[j] - 2 * m * weight[i][j], x, y, i, j
-
-    queue = [entry(i, j) for i, near in enumerate(weight) for j in near if i < j]
-    heapq.heapify(queue)
-    while queue and queue[0][0] < 0:
-        old = heapq.heappop(queue)
-        i, j = root(old[3]), root(old[4])
-        if i == j:
+    kept: list[dict[int, list[tuple[int, int, int]]]] = [{} for _ in nodes]  # by weight: (degree, least, other)
+    never = (0, 0, 0)
+    said = [never] * len(nodes)  # what the queue holds of a community
+    queue: list[tuple[tuple[int, int, int], int]] = []
+
+    def key(i: int, d: int, x: int, w: int) -> tuple[int, int, int]:
+        y = least[i]
+        return (degree[i] * d - 2 * m * w, x, y) if x < y else (degree[i] * d - 2 * m * w, y, x)
+
+    def say(i: int, new: tuple[int, int, int]) -> None:
+        if new[0] < 0 and new < said[i]:
+            said[i] = new
+            heapq.heappush(queue, (new, i))
+
+    def put(i: int, j: int) -> None:
+        if degree[i] < degree[j]:
+            i, j = j, i
+        w = weight[i][j]
+        heapq.heappush(kept[i].setdefault(w, []), (degree[j], least[j], j))
+        say(i, key(i, degree[j], least[j], w))
+
+    def best(i: int) -> tuple[tuple[int, int, int], int]:
+        """The best pair kept at ``i`` and its other community."""
+        found = never, i
+        for w in list(kept[i]):
+            heap = kept[i][w]
+            while heap:
+                d, x, j = heap[0]
+                if weight[i].get(j) == w:
+                    if d == degree[j]:
+                        found = min(found, (key(i, d, x, w), j))
+                        break
+                    heapq.heappop(heap)
+                    put(i, j)
+                else:
+                    heapq.heappop(heap)
+            if not heap:
+                del kept[i][w]
+        return found
+
+    for i, near in enumerate(weight):
+        for j in near:
+            if i < j:
+                put(i, j)
+    while queue:
+        old, i = heapq.heappop(queue)
+        if old != said[i]:
             continue
-        if (now := entry(i, j))[:3] != old[:3]:
-            if now[0] < 0:
-                heapq.heappush(queue, now)
+        said[i] = never
+        now, j = best(i)
+        if now != old:
+            say(i, now)
             continue
         if len(weight[i]) < len(weight[j]):
             i, j = j, i
-        into[j], least[i] = i, min(least[i], least[j])
+        least[i] = min(least[i], least[j])
         members[i] += members[j]
         degree[i] += degree[j]
-        both = []
-        for k, w in weight[j].items():
+        moved, weight[j], kept[j], members[j], said[j] = weight[j], {}, {}, [], never
+        for k, w in moved.items():
             del weight[k][j]
             if k != i:
-                if k in weight[i]:
-                    both.append(k)
                 weight[i][k] = weight[k][i] = weight[i].get(k, 0) + w
-        for k in both:
-            heapq.heappush(queue, entry(i, k))
-        weight[j], members[j] = {}, []
-    return [sorted(x) for x in members if x]
+        for k in moved:
+            if k != i:
+                put(i, k)
+        say(i, best(i)[0])
+    return [[nodes[i] for i in sorted(x)] for x in members if x]
 
 
 def communities(edges: DataFrame) -> DataFrame:
@@ -97,9 +130,9 @@ def communities(edges: DataFrame) -> DataFrame:
     No merge across components raises modularity, and a merge changes no gain in another component: each component meets
     in one task, with the number of edges of the whole graph, and the result is that of the whole graph.
     """
-    pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    pairs = settle(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
     total = pairs.count()
-    parts = components(edges)
+    parts = components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     placed = pairs.join(parts.withColumnRenamed("entity", "a"), "a")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
