@@ -352,6 +352,22 @@ def test_communities_of_random_graphs():
             assert sorted(found) == sorted(brute_communities(pairs))
 
 
+def test_pushes_by_series_equal_those_pair_by_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    spread, knot = rng.random((3000, 2)), rng.normal(0, 0.001, (1000, 2))
+    for at in (spread, np.vstack([spread * 40 - 7, knot, knot[:5]]), knot, np.zeros((1600, 2))):
+        want, got = components._pushes_all(at), components._Pushes(len(at))(at)
+        assert abs(want - got).max() <= 1e-9 * max(1, abs(want).max())
+
+
+def test_a_large_page_is_not_laid_out_pair_by_pair(monkeypatch):
+    monkeypatch.setattr(components, "_pushes_all", lambda *at: pytest.fail("pair by pair"))
+    at = components._spring([str(i) for i in range(3000)], [(i % 3, i) for i in range(3, 3000)], rounds=3)
+    assert at.shape == (3000, 2) and len({tuple(x) for x in at}) == 3000
+
+
 def test_whole_graph_queries_equal_brute_force(spark):
     from weftgraph.plans import registry
     from weftgraph.plans.kg import key_edges

@@ -15,6 +15,10 @@ from .graph import RELATED, common_entities, entity_pages, undirected
 
 #: Distances that a layout holds at a time.
 CELLS = 1 << 20
+#: Names from which a layout sums far pushes by series of so many terms (each cuts the rest to 0.31), and most cells of a side.
+SERIES, TERMS, SIDE = 600, 24, 256
+#: Least distance that a push counts with.
+CLOSE = 0.01
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -156,6 +160,88 @@ def with_community(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return nodes.join(found.select("entity", "community"), "entity", "left").withColumn("community", F.coalesce("community", F.lit(0)))
 
 
+def _pushes_all(at, scale: float = 1.0):
+    """Sum of ``scale`` d / |d|^2 over all others, with |d| at least ``CLOSE``: pair by pair."""
+    import numpy as np
+
+    n, force = len(at), np.empty((len(at), 2))
+    for a in range(0, n, step := max(1, CELLS // max(1, n))):
+        d = at[a : a + step, None] - at[None]
+        far = np.maximum(np.sqrt((d**2).sum(-1)), CLOSE)
+        force[a : a + step] = (d * (scale / far**2)[..., None]).sum(1)
+    return force
+
+
+class _Pushes:
+    """The same sums for many places, to 1e-11 or so: pair by pair up to two cells of a grid away, by series beyond.
+
+    With places as complex numbers a push is the conjugate of 1 / (z - z_j). A cell's places give a series around its
+    middle, Fourier transforms carry the series of all cells to all cells that are three or more away, and a place sums
+    the series of its own cell. Two cells' width is ``CLOSE`` at least, so that pushes in the series are never limited.
+    """
+
+    def __init__(self, n: int):
+        import numpy as np
+
+        self.side = min(SIDE, 1 << max(3, round(math.log2(math.sqrt(n) / 2))))
+        g = 2 * self.side
+        x = np.fft.fftfreq(g, 1 / g)
+        apart = x[:, None] + 1j * x[None]
+        near = np.maximum(abs(x)[:, None], abs(x)[None]) < 3
+        inverse = np.where(near, 0, 1 / np.where(near, 1, apart))
+        self.kernel, power = [], inverse
+        for q in range(2 * TERMS - 1):
+            self.kernel.append(np.fft.fft2(power))
+            power = power * inverse * (q + 1)
+
+    def __call__(self, at, scale: float = 1.0):
+        import numpy as np
+
+        n, g, low = len(at), self.side, at.min(0)
+        h = max((at - low).max() * (1 + 1e-9) / g, CLOSE / 2)
+        cell = np.minimum(((at - low) / h).astype(int), g - 1)
+        number = cell[:, 0] * g + cell[:, 1]
+        order = np.argsort(number, kind="stable")
+        xy, cell, number = at[order], cell[order], number[order]
+        off = (xy - low) / h - cell - 0.5
+        t = off[:, 0] + 1j * off[:, 1]
+        sent, power = [], np.ones(n, complex)
+        for m in range(TERMS):
+            whole = np.bincount(number, power.real, g * g) + 1j * np.bincount(number, power.imag, g * g)
+            sent.append(np.fft.fft2(whole.reshape(g, g), (2 * g, 2 * g)))
+            power = power * t / (m + 1)
+        far = np.zeros(n, complex)
+        for k in reversed(range(TERMS)):
+            got = np.zeros((2 * g, 2 * g), complex)
+            for m in range(TERMS):
+                got += sent[m] * self.kernel[k + m]
+            got = np.fft.ifft2(got)[:g, :g].reshape(-1) * ((-1) ** k / math.factorial(k))
+            far = far * t + got[number]
+        force = np.column_stack([far.real, -far.imag]) / h
+        first = np.searchsorted(number, np.arange(g * g + 1))
+        for dx in range(-2, 3):  # the five cells of a column stand side by side
+            row = cell[:, 0] + dx
+            inside = (row >= 0) & (row < g)
+            row = np.where(inside, row, 0) * g
+            begin, end = first[row + np.maximum(cell[:, 1] - 2, 0)], first[row + np.minimum(cell[:, 1] + 2, g - 1) + 1]
+            count = np.where(inside, end - begin, 0)
+            upto = np.concatenate([[0], np.cumsum(count)])
+            a = 0
+            while a < n:
+                b = max(a + 1, int(np.searchsorted(upto, upto[a] + CELLS, "right")) - 1)
+                c = count[a:b]
+                other = np.arange(upto[b] - upto[a]) + np.repeat(begin[a:b] - (upto[a:b] - upto[a]), c)
+                one = np.repeat(np.arange(b - a), c)
+                x, y = xy[a:b, 0][one] - xy[other, 0], xy[a:b, 1][one] - xy[other, 1]
+                w = 1 / np.maximum(x * x + y * y, CLOSE**2)
+                force[a:b, 0] += np.bincount(one, x * w, b - a)
+                force[a:b, 1] += np.bincount(one, y * w, b - a)
+                a = b
+        out = np.empty((n, 2))
+        out[order] = force * scale
+        return out
+
+
 def _spring(names: list[str], pairs: list[tuple[int, int]], rounds: int = 50, seed: int = 42):
     """Force-directed places: edges pull, all push, steps cool down."""
     import numpy as np
@@ -164,12 +250,9 @@ def _spring(names: list[str], pairs: list[tuple[int, int]], rounds: int = 50, se
     at = np.random.default_rng(seed).random((n, 2))
     k, heat = 2 / math.sqrt(max(1, n)), 0.1
     one, two = np.array(sorted({p for i, j in pairs for p in ((i, j), (j, i))}), int).reshape(-1, 2).T
+    pushes = _pushes_all if n < SERIES else _Pushes(n)
     for r in range(rounds):
-        force = np.empty((n, 2))
-        for a in range(0, n, step := max(1, CELLS // max(1, n))):
-            d = at[a : a + step, None] - at[None]
-            far = np.maximum(np.sqrt((d**2).sum(-1)), 0.01)
-            force[a : a + step] = (d * (k * k / far**2)[..., None]).sum(1)
+        force = pushes(at, k * k)
         d = at[one] - at[two]
         far = np.maximum(np.sqrt((d**2).sum(-1)), 0.01)
         np.subtract.at(force, one, d * (far / k)[:, None])
@@ -180,7 +263,9 @@ def _spring(names: list[str], pairs: list[tuple[int, int]], rounds: int = 50, se
 
 def page_layout(edges: DataFrame) -> DataFrame:
     """(page_num, entity, raw_x, raw_y): a layout for each page's own entities; a page meets in one task."""
-    rows = edges.select(F.coalesce("page_num", F.lit(1)).cast("int").alias("page_num"), "src", "dst")
+    rows = settle(edges.select(F.coalesce("page_num", F.lit(1)).cast("int").alias("page_num"), "src", "dst"))
+    # dealt by ranges, whose number stays: few bytes are much work here, and Spark would put small pages into one task
+    rows = rows.repartitionByRange(max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "page_num")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted({*pdf.src, *pdf.dst})
