@@ -62,6 +62,67 @@ def test_encoder_equals_library(path):
     assert enc.counts(texts) == list(map(len, ids))
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_encoder_in_small_steps(path, monkeypatch):
+    from weftgraph.llm import bpe
+
+    monkeypatch.setattr(bpe, "COPIED", 5)
+    monkeypatch.setattr(bpe, "TOGETHER", 200)
+    monkeypatch.setattr(bpe, "PIECES", 300)
+    enc = Encoder(tokenizer_file(path))
+    texts = [" ", "\n", "", " ".join(f"w{i}x words, and" for i in range(200)), *random_texts(300, 4), "words, and more"]
+    for own in ([" "], ["\n", ""], [], texts, texts[::-1]):
+        want = [e.ids for e in enc.library.encode_batch(own, add_special_tokens=False)]
+        assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(own)] == want
+
+
+MEMORY = """
+import ctypes, random, re, sys
+import pyarrow as pa
+from weftgraph.llm.bpe import Encoder, gathered, tokenizer_file
+
+def held():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+def give_back():
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+
+rng, enc = random.Random(5), Encoder(tokenizer_file(sys.argv[1]))
+texts = [pa.array([" ".join(f"{rng.choice('abcdef')}{rng.randrange(60_000):x}" for _ in range(600)) for _ in range(2_500)]) for _ in range(2)]
+give_back()  # what follows is the encoder's own
+for batch in gathered(pa.RecordBatch.from_arrays([t], names=["text"]) for t in texts):
+    enc.encode(batch.column("text"))
+now = held()
+give_back()
+print(now - held())
+"""
+
+
+def test_encoder_gives_memory_back():
+    import os
+    import subprocess
+    import sys
+
+    import weftgraph
+
+    root = os.path.dirname(os.path.dirname(weftgraph.__file__))
+    ran = subprocess.run([sys.executable, "-c", MEMORY, WORD], capture_output=True, text=True, env=os.environ | {"PYTHONPATH": os.pathsep.join([root, *sys.path])})
+    assert ran.returncode == 0, ran.stderr
+    assert float(ran.stdout) < 40  # MB that the worker would keep through all later stages
+
+
+def test_op7_and_op8_read_small_tables_without_python(spark, monkeypatch):
+    from weftgraph.llm import workspace
+
+    df = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string")).alias("source"))
+    plans, written = [], workspace.written
+    monkeypatch.setattr(workspace, "written", lambda s, d, name: plans.append(d) or written(s, d, name))
+    assert mixing.mixed(spark, df).count() == 40
+    plans.append(language_id.sample(spark, df))
+    assert len(plans) == 2 and not [p for p in plans if re.search("ExistingRDD|LogicalRDD", p._jdf.queryExecution().toString())]
+
+
 def test_op1_counts(spark, edge, empty):
     lib = Encoder(tokenizer_file(BYTE)).library
     got = sorted(map(tuple, token_counts.token_counts(spark, edge, BYTE, over=3000).collect()), key=repr)

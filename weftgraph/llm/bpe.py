@@ -18,12 +18,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .workspace import give_back
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces that a worker keeps; a full cache starts anew. Pieces that the library gets as one text.
 PIECES, JOINED = 600_000, 256
-#: Bytes of texts that are encoded together, so that few distinct pieces are looked up twice.
-TOGETHER = 4 << 20
+#: Pieces whose ids are copied at a time.
+COPIED = 1 << 16
+#: Bytes of texts that are encoded together, so that few distinct pieces are looked up twice; their pieces, as arrays,
+#: take tens of times that.
+TOGETHER = 1 << 20
 #: Characters that both kinds treat alike on their own and beside others; a text with others is not cut.
 SAFE = r"\t-\r -~\x{a1}-\x{ac}\x{ae}-\x{12f}\x{131}-\x{24f}"
 _ODD = {"word": rf"[^{SAFE}]|<\|", "byte": rf"[^{SAFE}]|<\||^ | $| [\t-\r ]|[\t-\r] "}
@@ -59,11 +64,23 @@ class _Table:
             self.ids = np.append(self.ids, ids)
         self.pieces, self.sizes = pa.concat_arrays([self.pieces, pieces]), np.append(self.sizes, sizes)
 
+    def find(self, pieces: pa.Array) -> np.ndarray:
+        """Numbers of distinct pieces, -1 for those it lacks. Arrow hashes the new pieces, which are fewer than those known."""
+        numbers = np.full(len(pieces), -1, np.int64)
+        at = pc.fill_null(pc.index_in(self.pieces, value_set=pieces), -1).to_numpy()
+        known = np.flatnonzero(at >= 0)
+        numbers[at[known]] = known
+        return numbers
+
     def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places of the ends, from 0 on, ids) of pieces by number, one after the other."""
         sizes = self.sizes[which]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        return ends, self.ids[np.repeat(self.starts[which] - ends[:-1], sizes) + np.arange(ends[-1])]
+        ids = np.empty(ends[-1], np.uint32)
+        for a in range(0, len(which), COPIED):
+            b = min(a + COPIED, len(which))
+            ids[ends[a] : ends[b]] = self.ids[np.repeat(self.starts[which[a:b]] - ends[a:b], sizes[a:b]) + np.arange(ends[a], ends[b])]
+        return ends, ids
 
 
 class Encoder:
@@ -103,8 +120,8 @@ class Encoder:
         coded = stems.dictionary_encode()
         if len(self.words.pieces) + len(coded.dictionary) > PIECES:
             self.words = _Table(True)
-        places = pc.index_in(coded.dictionary, value_set=self.words.pieces)
-        missing = pc.is_null(places).to_numpy(zero_copy_only=False)
+        numbers = self.words.find(coded.dictionary)
+        missing = numbers < 0
         new = coded.dictionary.filter(pa.array(missing))
         lead, symbols = self.symbols[32], self.symbols
         found = []
@@ -113,7 +130,6 @@ class Encoder:
             found.append(self._merged(w if body.isascii() else w[: len(w) - len(body)] + "".join(map(symbols.__getitem__, body.encode()))))
         known = len(self.words.pieces)
         self.words.add(new, np.fromiter(map(len, found), np.int64, len(found)), np.array([i for own in found for i in own], np.uint32))
-        numbers = places.fill_null(0).to_numpy().astype(np.int64)
         numbers[missing] = known + np.arange(len(new))
         which = numbers[coded.indices.to_numpy()]
         ends, inner = self.words.gather(which)
@@ -201,30 +217,30 @@ class Encoder:
         plain = np.flatnonzero(~odd & (pc.binary_length(texts).to_numpy() > 0))
         if len(plain):
             split = self._split(texts.take(pa.array(plain)))
+            cut = split.offsets.to_numpy() - split.offsets[0].as_py()
             coded = split.flatten().dictionary_encode()
+            del split  # the pieces take several times the texts
             table, pieces = self.tables[counts], coded.dictionary
-            places = pc.index_in(pieces, value_set=table.pieces)
-            if places.null_count:
-                if len(table.pieces) + places.null_count > PIECES:
+            numbers = table.find(pieces)
+            missing = numbers < 0
+            if missing.any():
+                if len(table.pieces) + missing.sum() > PIECES:
                     seed = self.seed if counts else {}
                     table = self.tables[counts] = _Table(not counts, list(seed), list(seed.values()))
-                    places = pc.index_in(pieces, value_set=table.pieces)
-                missing = pc.is_null(places).to_numpy(zero_copy_only=False)
-                numbers = places.fill_null(0).to_numpy().astype(np.int64)
+                    numbers = table.find(pieces)
+                    missing = numbers < 0
                 numbers[missing] = self._learn(table, pieces.filter(pa.array(missing)))
-            else:
-                numbers = places.to_numpy().astype(np.int64)
             which = numbers[coded.indices.to_numpy()]
-            cut = split.offsets.to_numpy() - split.offsets[0].as_py()
+            del coded, pieces, numbers
             if counts:
                 cuts = np.concatenate([[0], np.cumsum(table.sizes[which])])[cut]
                 for i, n in zip(plain.tolist(), np.diff(cuts).tolist()):
                     out[i] = n
             else:
                 ends, ids = table.gather(which)
-                raw, cuts = ids.astype("<u4").tobytes(), ends[cut] * 4
+                raw, cuts = ids.astype("<u4", copy=False).view(np.uint8), ends[cut] * 4
                 for i, a, b in zip(plain.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
-                    out[i] = raw[a:b]
+                    out[i] = raw[a:b].tobytes()
         for i in np.flatnonzero(odd).tolist():
             ids = self.library.encode(texts[i].as_py(), add_special_tokens=False).ids
             out[i] = len(ids) if counts else np.array(ids, "<u4").tobytes()
@@ -235,7 +251,12 @@ class Encoder:
         texts = (pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())).fill_null("")
         group = np.cumsum(pc.binary_length(texts).to_numpy()) // TOGETHER
         bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
-        return [x for a, b in zip(bounds, bounds[1:]) for x in self._together(texts[a:b], counts)]
+        out = []
+        for a, b in zip(bounds, bounds[1:]):
+            out += self._together(texts[a:b], counts)
+            if texts[a:b].nbytes > TOGETHER // 4:  # it takes milliseconds, as a slice takes some tenths of a second
+                give_back()
+        return out
 
     def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of texts, without added special tokens; null counts as empty."""

@@ -168,7 +168,7 @@ def sample(spark: SparkSession, docs: DataFrame, most: int = ROWS_A_LANGUAGE, to
     sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("least")).collect()
     quota = max(1, min(most, total // max(1, len(sizes))))
     cut = [(r["lang"], max(r["least"], min((1 << 63) - 1, -(1 << 63) + (quota << 64) // r["n"]))) for r in sizes]
-    bounds = F.broadcast(spark.createDataFrame(cut, "lang string, bound long"))  # a row a language; the model has 128 KB of each
+    bounds = F.broadcast(workspace.small_table(spark, cut, pa.schema({"lang": pa.string(), "bound": pa.int64()})))  # a row a language; the model has 128 KB of each
     chosen = usable.join(bounds, "lang").where("hash <= bound")
     return chosen.groupBy("lang", "hash").agg(F.min("text").alias("text"))
 
@@ -190,7 +190,7 @@ def train(spark: SparkSession, docs: DataFrame) -> Model:
             kinds = [pa.string(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "hash", "buckets", "counts"])
 
-    found = sample(spark, docs).select("lang", "hash", "text").mapInArrow(features, "lang string, hash long, buckets binary, counts binary").collect()  # the bounded sample
+    found = sample(spark, docs).select("lang", "hash", "text").mapInArrow(workspace.giving_back(features), "lang string, hash long, buckets binary, counts binary").collect()  # the bounded sample
     found = sorted((r["lang"], r["hash"], bytes(r["buckets"]), bytes(r["counts"])) for r in found)
     return fit([(a, k, np.frombuffer(b, np.int32).astype(np.int64), np.frombuffer(c, np.int64).astype(np.float64)) for a, k, b, c in found])
 

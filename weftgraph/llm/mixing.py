@@ -126,7 +126,7 @@ def mixed(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("h"))
     counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("source")).collect()  # one row a source
     lanes = {r["source"]: i for i, r in enumerate(counts)}  # every source has its own, the largest first
-    table = spark.createDataFrame([(k, i) for k, i in lanes.items()], "name string, lane int") if lanes else spark.createDataFrame([], "name string, lane int")
+    table = workspace.small_table(spark, list(lanes.items()), pa.schema({"name": pa.string(), "lane": pa.int32()}))
     # one row a source, which has a block at least, of 24 bytes, in the schedule that workers are sent
     rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "source", "h", "lane")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -146,7 +146,7 @@ def mixed(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None
                 seen[int(k)] = seen.get(int(k), 0) + len(own)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "h", "lane")), pa.array([task] * len(lane), pa.int32()), pa.array(out)], names=["doc_id", "source", "h", "lane", "task", "local"])
 
-    ranked = workspace.written(spark, ordered.mapInArrow(rank, "doc_id long, source string, h long, lane int, task int, local long"), "ranked")
+    ranked = workspace.written(spark, ordered.mapInArrow(workspace.giving_back(rank), "doc_id long, source string, h long, lane int, task int, local long"), "ranked")
     by_task = ranked.groupBy("lane", "task").agg(F.count(F.lit(1)).alias("n"))
     earlier = W.partitionBy("lane").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
     before = by_task.select("lane", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
@@ -168,7 +168,7 @@ def mixed(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None
             )
 
     placed = ranked.join(before, ["lane", "task"]).select("doc_id", "source", "h", "lane", (F.col("before") + F.col("local")).alias("rank"))
-    return placed.mapInArrow(place, "doc_id long, source string, lane int, block long, slot long, release long, deadline long, position long, h long")
+    return placed.mapInArrow(workspace.giving_back(place), "doc_id long, source string, lane int, block long, slot long, release long, deadline long, position long, h long")
 
 
 def mix(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:

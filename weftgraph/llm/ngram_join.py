@@ -96,7 +96,7 @@ def signatures(spark: SparkSession, docs: DataFrame, words: int, n: int, rows: i
                     bands.append([])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "h", "s", "size", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, s binary, size int, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").mapInArrow(workspace.giving_back(run), "doc_id long, h long, s binary, size int, bands array<long>")
 
 
 def strips(sets: list[np.ndarray], threshold: float, split: int | None = None):
@@ -236,12 +236,12 @@ def similar(spark: SparkSession, docs: DataFrame, words: int = WORDS, threshold:
     texts = texts.groupBy("doc_id", "h").agg(F.first("text").alias("text"))
     # merged at every size: the candidates grow with the corpus, and small ones must not change the plan
     met = texts.hint("merge").join(placed, (F.col("h") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("s", "copies", "rep", "component", "k", "text")
-    sets = met.mapInArrow(_sets(words), "component long, rep long, copies long, k int, shingles binary")
+    sets = met.mapInArrow(workspace.giving_back(_sets(words)), "component long, rep long, copies long, k int, shingles binary")
     sets = workspace.written(spark, sets, "sets").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
     parts = sets.select("component", "rep", "copies", "shingles", F.col("block").alias("side"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     parts = parts.select("component", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "copies", "shingles")
     dealt = parts.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    found = workspace.written(spark, dealt.mapInArrow(_verify(threshold), "rep long, root long, links long"), "found")
+    found = workspace.written(spark, dealt.mapInArrow(workspace.giving_back(_verify(threshold)), "rep long, root long, links long"), "found")
     if several:
         roots = components(spark, found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("root"))
         found = found.groupBy("rep").agg(F.sum("links").alias("links")).join(roots, "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"), "links")

@@ -192,7 +192,7 @@ def pieces(spark: SparkSession, docs: DataFrame, tokenizer_path: str, capacity:
             columns = list(zip(*rows)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return docs.select("doc_id", "text", "file", "row").mapInArrow(cut, f"{PIECE}, file string, row long, task long, local_rank long")
+    return docs.select("doc_id", "text", "file", "row").mapInArrow(workspace.giving_back(cut), f"{PIECE}, file string, row long, task long, local_rank long")
 
 
 def _placed(batch: pa.RecordBatch, places: dict, rank: np.ndarray) -> pa.RecordBatch:
@@ -237,7 +237,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, capacity: in
             yield _placed(batch, places.value, batch.column("rank").to_numpy())
 
     ranked = cut.join(before, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("local_rank")).alias("rank"))
-    return ranked.mapInArrow(place, PLACED)
+    return ranked.mapInArrow(workspace.giving_back(place), PLACED)
 
 
 def _window(batch: pa.RecordBatch, capacity: int, first: int) -> pa.RecordBatch:
@@ -305,4 +305,4 @@ def pack_in_order(spark: SparkSession, docs: DataFrame, tokenizer_path: str, cap
         if parts:
             yield close()
 
-    return dealt.mapInArrow(place, PLACED)
+    return dealt.mapInArrow(workspace.giving_back(place), PLACED)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +30,36 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def give_back() -> None:
+    """Free memory of this process goes back to the system, which Arrow's pool and the C library keep for later.
+
+    A Python worker outlives its tasks, and what it keeps counts against its executor's memory in all later stages.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def giving_back(run):
+    """``run``, a function of Arrow batches, whose worker gives its free memory back at the end of each task."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """A table of the driver's own rows as a local relation: from a list Spark would start Python workers to read it."""
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema))
+
+
 def partitions(spark: SparkSession, df: DataFrame, size: int = PARTITION) -> int:
     """Shuffle partitions for rows with whole texts: as many as the session's, or as a bounded size of each takes."""
     known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
