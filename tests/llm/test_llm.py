@@ -390,6 +390,15 @@ def test_op7_slices_do_not_change_a_text():
     assert n.max() == 100_000
 
 
+def test_op7_training_gives_the_drivers_memory_back(spark, monkeypatch):
+    from weftgraph.llm import workspace
+
+    called, give_back = [], workspace.give_back
+    monkeypatch.setattr(workspace, "give_back", lambda: called.append(1) or give_back())
+    df = spark.createDataFrame([(i, f"some text {i}", "en") for i in range(20)], "doc_id long, text string, lang string")
+    assert language_id.train(spark, df).languages == ["en"] and called
+
+
 def test_op7_every_language_has_its_rows(spark):
     rows = [(i, f"t{i} word", f"l{i % 300:03}") for i in range(3000)] + [(9, "same text", "l000")] * 500
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")

@@ -192,7 +192,10 @@ def train(spark: SparkSession, docs: DataFrame) -> Model:
 
     found = sample(spark, docs).select("lang", "hash", "text").mapInArrow(workspace.giving_back(features), "lang string, hash long, buckets binary, counts binary").collect()  # the bounded sample
     found = sorted((r["lang"], r["hash"], bytes(r["buckets"]), bytes(r["counts"])) for r in found)
-    return fit([(a, k, np.frombuffer(b, np.int32).astype(np.int64), np.frombuffer(c, np.int64).astype(np.float64)) for a, k, b, c in found])
+    model = fit([(a, k, np.frombuffer(b, np.int32).astype(np.int64), np.frombuffer(c, np.int64).astype(np.float64)) for a, k, b, c in found])
+    del found
+    workspace.give_back()  # the driver's Python, too, would keep through later stages what training took
+    return model
 
 
 def labels(spark: SparkSession, model: Model):
